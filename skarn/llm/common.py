@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast after they have been counted.
@@ -98,8 +99,9 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     large group of near copies costs one test each, and no link that could join
     two components is left untested. ``verify`` keeps the true pairs of (a, b).
     """
-    low = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low"))
-    shared = materialize(buckets.join(low, "bucket"))
+    over = Window.partitionBy("bucket")
+    shared = buckets.select("bucket", "id", F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
+    shared = materialize(shared.where("low <> high").select("bucket", "id", "low").distinct())
     star = shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     first = materialize(verify(star))
     label = materialize(components(first))

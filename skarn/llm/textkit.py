@@ -142,10 +142,10 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients of ``k`` universal hashes x -> a*x + b mod 2**32, a odd."""
-    r = np.random.default_rng(20_011)
-    a = r.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    return a, r.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
+    """Coefficients of ``k`` universal hashes x -> a*x + b mod 2**32, a odd; the
+    first ones are the same for any ``k``."""
+    a, b = (np.random.default_rng(seed).integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) for seed in (20_011, 20_021))
+    return a | np.uint32(1), b
 
 
 def minhash(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
