@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import decontaminate, fingerprints, language, lines, ngrams, packing, tokens
+from skarn.llm import decontaminate, fingerprints, language, licenses, lines, ngrams, packing, passages, tokens
 from skarn.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -47,9 +55,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_counts,
         op5_best_fit_packing,
         op6_ngram_jaccard_join,
+        op7_license_scan,
         op8_language_id,
         op9_line_dedup,
+        op10_substring_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.sql()}
