@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import textkit as K
+from skarn.llm.common import broadcast_if_small, materialize
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -140,5 +141,5 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item, told by doc_id; rows
     whose doc_id is null can't be told apart and stay."""
-    bad = contained(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    bad = materialize(contained(docs, items).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.join(broadcast_if_small(bad, bad.count()), docs["doc_id"] == bad["__bad"], "left_anti")

@@ -172,3 +172,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = materialize(named.select("digest", F.coalesce("component", "id").alias("c")))
     out = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest
+    doc_id, once. Rows whose doc_id is null stay."""
+    label = materialize(jaccard_components(docs))
+    gone = materialize(label.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == gone["__gone"], "left_anti")
+    twice = materialize(label.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")))
+    if n := twice.count():
+        many = broadcast_if_small(twice, n)
+        again = out.join(many, out["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(many, out["doc_id"] == twice["__twice"], "left_anti").union(again)
+    return out

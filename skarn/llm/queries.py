@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import decontaminate, fingerprints, language, licenses, lines, ngrams, packing, passages, tokens
+from skarn.llm import decontaminate, fingerprints, html, language, licenses, lines, ngrams, packing, passages, tokens
 from skarn.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_benchmark_decontamination,
         op3_document_fingerprints,
         op4_token_counts,
@@ -62,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.sql()}
+
+def oracle_sql() -> dict[str, str]:
+    return {"op7_license_scan": licenses.sql()}
