@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -90,31 +92,77 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) among ids that share a bucket, without all pairs.
-
-    ``buckets`` has (bucket, id), ids of distinct contents. Round one tests each
-    id against the smallest id of its bucket. What that joins is contracted, and
-    round two tests only pairs of a bucket whose components still differ, so a
-    large group of near copies costs one test each, and no link that could join
-    two components is left untested. ``verify`` keeps the true pairs of (a, b).
+def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], numerator: int, denominator: int) -> tuple[list[int], list[bytes | None]]:
+    """(size of the difference from ``probe``, prefix of it) for each ascending
+    set. The prefix is as long as it takes for any partner that may link with
+    the set, but not through the probe, to share an element of it; elements that
+    the probe lacks come first. None: a partner may share nothing."""
+    sizes, prefixes = [], []
+    gap = denominator - numerator
+    for s, ok in zip(members, oks, strict=True):
+        at = np.searchsorted(probe, s)
+        hit = probe[np.minimum(at, len(probe) - 1)] == s
+        lacks = np.ones(len(probe), bool)
+        lacks[at[hit]] = False
+        diff = np.concatenate([s[~hit], probe[lacks]])
+        # by the triangle inequality; for a set that links with the probe also from
+        # the distance that its partner, which does not, keeps from the probe
+        least = len(diff) - len(s) * gap // numerator
+        if ok:
+            least = max(least, int((len(diff) + gap * (len(probe) - len(s)) / (numerator + denominator)) // 2) + 1)
+        sizes.append(len(diff))
+        prefixes.append(diff[: len(diff) - least + 1].tobytes() if least > 0 else None)
+    return sizes, prefixes
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+        n = np.array([len(x) for x in parts], np.int64)
+        of = pa.array(np.repeat(np.arange(len(n)), n))
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rest = [b.column(c).take(of) for c in ("a", "b", "ok", "size", "n_diff", "c")]
+        token = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(token, pa.int64()), pa.array(place, pa.int32())], names=["a", "b", "ok", "size", "n_diff", "c", "token", "place"])
+
+
+def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) among the sets that share a bucket, up to components: every
+    two sets of a bucket whose Jaccard similarity is numerator/denominator or
+    more are connected by the result.
+
+    ``buckets`` has (bucket, id), ids of distinct sets. Each id is tested once
+    against the smallest id of its bucket, the leader. Two members that link
+    with the leader need no test. For the others, ``test`` gives their difference
+    from the leader: two sets as close as a link differ in few elements, so
+    their differences must overlap, and a prefix join of the differences, with
+    a bound by position, finds them exactly. A large group of near copies
+    costs one test each and few pairs more.
+
+    ``test`` turns (a, b) into (a, b, ok, size, n_diff, prefix): whether b links
+    with a, b's size, and what ``difference`` gives.
     """
     over = Window.partitionBy("bucket")
-    shared = buckets.select("bucket", "id", F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
-    shared = materialize(shared.where("low <> high").select("bucket", "id", "low").distinct())
-    star = shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialize(verify(star))
-    label = materialize(components(first))
-    known = shared.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", "low", F.coalesce("component", "id").alias("c")
-    )
-    split = known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    known = materialize(known.join(split, "bucket", "left_semi").distinct())
-    x, y = known.alias("x"), known.alias("y")
-    rest = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
-        .where("x.id <> x.low")
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
-    return first.select("a", "b").union(materialize(verify(rest)).select("a", "b"))
+    shared = buckets.select("bucket", "id", F.min("id").over(over).alias("a"), F.max("id").over(over).alias("high"))
+    star = shared.where("a <> high and id <> a").select("a", F.col("id").alias("b")).distinct()
+    tested = materialize(test(star))
+    first = tested.where("ok").select("a", "b")
+    label = components(first).withColumnRenamed("node", "b").withColumnRenamed("component", "c")
+    open_ = tested.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("out")).where("n > 1 and out > 0").select("a")
+    family = tested.join(open_, "a", "left_semi").join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
+    family = materialize(family.select("a", "b", "ok", "size", "n_diff", "prefix", "c"))
+    rows = materialize(family.where("prefix is not null").mapInArrow(_prefix_rows, "a long, b long, ok boolean, size long, n_diff long, c long, token long, place int"))
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = (F.col("x.c") != F.col("y.c")) & ~(F.col("x.ok") & F.col("y.ok"))
+    # twice the overlap that a link needs, times (numerator + denominator)
+    need = (F.col("x.n_diff") + F.col("y.n_diff")) * (numerator + denominator) - (F.col("x.size") + F.col("y.size")) * (denominator - numerator)
+    most = F.least(F.col("x.n_diff") - F.col("x.place"), F.col("y.n_diff") - F.col("y.place"))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
+    rest = x.join(y, same & apart & (2 * most * (numerator + denominator) >= need)).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    # sets so close to the leader that a partner may differ from it elsewhere
+    loose, every = family.where("prefix is null").alias("x"), family.alias("y")
+    near = F.abs(F.col("x.n_diff") - F.col("y.n_diff")) * numerator <= F.least("x.size", "y.size") * (denominator - numerator)
+    more = loose.join(every, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & apart & near)
+    more = more.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    second = materialize(test(rest.union(more).distinct())).where("ok").select("a", "b")
+    return first.union(second)

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from skarn.llm import textkit as K
 from skarn.llm.common import broadcast_if_small, components, linked, materialize
+from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
 
 PERMUTATIONS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-SIMILARITY = 0.8
+SIMILARITY = (8, 10)
 #: Rows that one range of the ordered documents holds.
 RANGE_ROWS = 8192
 
@@ -199,12 +200,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+        out = []
+        for i, j, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(10 * both >= 8 * (len(p) + len(q) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out += tested_rows(i, [j], [q], [SIMILARITY[1] * both >= SIMILARITY[0] * (len(p) + len(q) - both)], p, *SIMILARITY)
+        yield tested_batch(out)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,9 +220,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         held = own.select("id", "shingles")
         wide = held.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(broadcast_if_small(pairs, n), "b")
         wide = held.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(wide, "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
+        return wide.select("a", "b", "x", "y").mapInArrow(_jaccard, TESTED)
 
-    label = components(linked(own.select("id", "fingerprint").mapInArrow(_bands, "bucket long, id long"), verify))
+    label = components(linked(own.select("id", "fingerprint").mapInArrow(_bands, "bucket long, id long"), verify, *SIMILARITY))
     known = own.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("c"))
     low = known.groupBy("c").agg(F.min("first").alias("component_id"))
     named = known.join(low, "c").select("id", "component_id")

@@ -25,6 +25,7 @@ from pyspark.sql import types
 
 from skarn.llm import textkit as K
 from skarn.llm.common import broadcast_if_small, components, linked, materialize
+from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
 
 MIN_CHARS = 20
 SHINGLE = 6
@@ -103,33 +104,40 @@ def _occurrences(with_text: bool):
     return run
 
 
-def char_shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def char_shingles(lines: pa.Array) -> list[np.ndarray]:
+    """The ascending set of hashed character shingles of each line."""
+    data, offsets = K.buffers(lines)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    h, bounds = K.shingles(points, chars, SHINGLE)
+    return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep, held = [], (None, set())
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            if held[0] != x:
-                held = (x, char_shingles(x))
-            p, q = held[1], char_shingles(y)
-            both = len(p & q)
-            keep.append(SIMILARITY[1] * both >= SIMILARITY[0] * (len(p) + len(q) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for b in K.slices(whole, "y"):
+            a = b.column("a").to_pylist()
+            mine = [i for i in range(b.num_rows) if not i or a[i] != a[i - 1]]  # the first row of each a
+            probes = dict(zip((a[i] for i in mine), char_shingles(b.column("x").take(pa.array(mine, pa.int64()))), strict=True))
+            out = []
+            for i, name, s in zip(a, b.column("b").to_pylist(), char_shingles(b.column("y")), strict=True):
+                both = len(np.intersect1d(probes[i], s, assume_unique=True))
+                ok = SIMILARITY[1] * both >= SIMILARITY[0] * (len(probes[i]) + len(s) - both)
+                out += tested_rows(i, [name], [s], [ok], probes[i], *SIMILARITY)
+            yield tested_batch(out)
 
 
 def _verifier(docs: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs)
-        if not (n := pairs.count()):
-            return pairs
+        if not pairs.count():
+            return docs.sparkSession.createDataFrame([], TESTED)
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         lines = docs.select("text").mapInArrow(_occurrences(True), "id long, line string")
         lines = materialize(lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"]))
         wide = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         wide = wide.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs, "a long, b long")
+        return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs, TESTED)
 
     return verify
 
@@ -137,7 +145,7 @@ def _verifier(docs: DataFrame):
 def line_components(docs: DataFrame) -> DataFrame:
     """(id, component) of distinct lines (by hash) that are near-equal to another one."""
     bands = docs.select("text").mapInArrow(_band_rows, "bucket long, id long")
-    return components(linked(bands, _verifier(docs))).withColumnRenamed("node", "id")
+    return components(linked(bands, _verifier(docs), *SIMILARITY)).withColumnRenamed("node", "id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import textkit as K
-from skarn.llm.common import broadcast_if_small, components, linked, materialize
+from skarn.llm.common import broadcast_if_small, components, difference, linked, materialize
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
@@ -104,31 +104,40 @@ def tree_matches(probe: np.ndarray, sets: list[np.ndarray], numerator: int = NUM
     return out
 
 
+TESTED = "a long, b long, ok boolean, size long, n_diff long, prefix binary"
+
+
+def tested_rows(a: int, names: list[int], sets: list[np.ndarray], keep: list[bool], probe: np.ndarray, numerator: int, denominator: int) -> list[tuple]:
+    sizes, prefixes = difference(sets, probe, keep, numerator, denominator)
+    return [(a, b, k, len(s), n, p) for b, k, s, n, p in zip(names, keep, sets, sizes, prefixes, strict=True)]
+
+
+def tested_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TESTED.split(", ")])
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by tree, the probe (b is null) first."""
     probe, of, names, sets = None, None, [], []
 
-    def close() -> tuple[list, list]:
-        keep = tree_matches(probe, sets) if sets else []
-        hit = [b for b, k in zip(names, keep, strict=True) if k]
-        return [of[0]] * len(hit), hit
+    def close() -> list[tuple]:
+        return tested_rows(of[0], names, sets, tree_matches(probe, sets), probe, NUMERATOR, DENOMINATOR) if sets else []
 
     for batch in batches:
-        out_a, out_b = [], []
+        out = []
         for a, salt, b, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (a, salt) != of:
                 if of:
-                    x, y = close()
-                    out_a += x
-                    out_b += y
+                    out += close()
                 of, probe, names, sets = (a, salt), np.frombuffer(s, np.uint64), [], []
             else:
                 names.append(b)
                 sets.append(np.frombuffer(s, np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        yield tested_batch(out)
     if of:
-        x, y = close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+        yield tested_batch(close())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +152,7 @@ def _verifier(docs: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs)
         if not pairs.count():
-            return pairs
+            return docs.sparkSession.createDataFrame([], TESTED)
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         few = broadcast_if_small(ids.withColumnRenamed("id", "doc_id"), ids.count())
         sets = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary")
@@ -154,7 +163,7 @@ def _verifier(docs: DataFrame):
         members = dealt.join(sets.withColumnRenamed("id", "b"), "b")
         rows = probes.select("a", "salt", F.lit(None).cast("long").alias("b"), "s").union(members.select("a", "salt", "b", "s"))
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull()).mapInArrow(_trees, "a long, b long")
+        return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull()).mapInArrow(_trees, TESTED)
 
     return verify
 
@@ -167,7 +176,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     base = materialize(docs.mapInArrow(_base, "doc_id long, n_shingles long, digest binary, keys binary"))
     own = base.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("m"))
     own = materialize(own.select("digest", F.col("m.doc_id").alias("id"), F.col("m.keys").alias("keys")))
-    label = components(linked(own.select("id", "keys").mapInArrow(_exploded, "bucket long, id long"), _verifier(docs)))
+    label = components(linked(own.select("id", "keys").mapInArrow(_exploded, "bucket long, id long"), _verifier(docs), NUMERATOR, DENOMINATOR))
     named = own.select("digest", "id").join(label.withColumnRenamed("node", "id"), "id", "left")
     named = materialize(named.select("digest", F.coalesce("component", "id").alias("c")))
     out = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
