@@ -92,11 +92,17 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], numerator: int, denominator: int) -> tuple[list[int], list[bytes | None]]:
+def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], numerator: int, denominator: int) -> tuple[list[int], list[bytes]]:
     """(size of the difference from ``probe``, prefix of it) for each ascending
     set. The prefix is as long as it takes for any partner that may link with
     the set, but not through the probe, to share an element of it; elements that
-    the probe lacks come first. None: a partner may share nothing."""
+    the probe lacks come first.
+
+    Two sets link only if they differ in few elements, and a set that does not
+    link with the probe differs from it in more: so the differences of two sets
+    that link, of which one at least does not link with the probe, share one
+    element or more, and by the triangle inequality often many more.
+    """
     sizes, prefixes = [], []
     gap = denominator - numerator
     for s, ok in zip(members, oks, strict=True):
@@ -105,13 +111,11 @@ def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], nu
         lacks = np.ones(len(probe), bool)
         lacks[at[hit]] = False
         diff = np.concatenate([s[~hit], probe[lacks]])
-        # by the triangle inequality; for a set that links with the probe also from
-        # the distance that its partner, which does not, keeps from the probe
-        least = len(diff) - len(s) * gap // numerator
-        if ok:
+        least = max(1, len(diff) - len(s) * gap // numerator)
+        if ok:  # its partner keeps a distance from the probe
             least = max(least, int((len(diff) + gap * (len(probe) - len(s)) / (numerator + denominator)) // 2) + 1)
         sizes.append(len(diff))
-        prefixes.append(diff[: len(diff) - least + 1].tobytes() if least > 0 else None)
+        prefixes.append(diff[: max(0, len(diff) - least + 1)].tobytes())
     return sizes, prefixes
 
 
@@ -151,7 +155,7 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     open_ = tested.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("out")).where("n > 1 and out > 0").select("a")
     family = tested.join(open_, "a", "left_semi").join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
     family = materialize(family.select("a", "b", "ok", "size", "n_diff", "prefix", "c"))
-    rows = materialize(family.where("prefix is not null").mapInArrow(_prefix_rows, "a long, b long, ok boolean, size long, n_diff long, c long, token long, place int"))
+    rows = materialize(family.mapInArrow(_prefix_rows, "a long, b long, ok boolean, size long, n_diff long, c long, token long, place int"))
     x, y = rows.alias("x"), rows.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & ~(F.col("x.ok") & F.col("y.ok"))
     # twice the overlap that a link needs, times (numerator + denominator)
@@ -159,10 +163,5 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     most = F.least(F.col("x.n_diff") - F.col("x.place"), F.col("y.n_diff") - F.col("y.place"))
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
     rest = x.join(y, same & apart & (2 * most * (numerator + denominator) >= need)).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    # sets so close to the leader that a partner may differ from it elsewhere
-    loose, every = family.where("prefix is null").alias("x"), family.alias("y")
-    near = F.abs(F.col("x.n_diff") - F.col("y.n_diff")) * numerator <= F.least("x.size", "y.size") * (denominator - numerator)
-    more = loose.join(every, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") != F.col("y.b")) & apart & near)
-    more = more.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
-    second = materialize(test(rest.union(more).distinct())).where("ok").select("a", "b")
+    second = materialize(test(rest.distinct())).where("ok").select("a", "b")
     return first.union(second)
