@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Bytes that Windows-1252 leaves open become C1 controls, as browsers have it.
 _OPEN = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
@@ -66,16 +67,16 @@ def reinterpret(text: str | None) -> str | None:
     return strict(text.encode("latin-1"), "cp949")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def client_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: decode_client(None if b is None else bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def file_name(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: decode_file_name(None if b is None else bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def reinterpreted(text: pd.Series) -> pd.Series:
     return text.map(reinterpret)
