@@ -66,7 +66,8 @@ def _ranges(docs: DataFrame) -> DataFrame:
     ``own`` false, a copy of the row that follows each range's last one."""
     ids = docs.select("doc_id")
     n, low = ids.agg(F.count("*"), F.count("doc_id")).first()
-    parts = max(1, -(-n // RANGE_ROWS))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // RANGE_ROWS), min(4 * tasks, n // 64))  # several to a task, so that tasks are alike
     cuts: list[int] = []
     if low and parts > 1:
         points = [i / parts for i in range(1, parts)]

@@ -363,11 +363,11 @@ PAGE = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><!-- x --
 def test_html(spark):
     menu = "<div>" + " ".join(f"menu{i}" for i in range(12)) + "</div>"
     rows = [(1, "http://a.example/1", PAGE.format("<article><h1>A &amp; B</h1><p>x  <b>y</b>&nbsp;z<br>w<p>next<script>no()</script><div class='comments'><article>c</article></div></article>")), (2, None, None), (3, "http://a.example/2", ""), (4, "bad url", "<p>a < b & c")]
-    rows += [(10 + i, "http://b.example/x", f"<body>{menu}<p>only here {i}</p></body>") for i in range(3)] + [(20, "http://b.example/x", f"<body>{menu}<p>only here 0</p></body>")]
+    rows += [(10 + i, "http://b.example/x", f"<body>{menu}<p>only{i} here{i}</p></body>") for i in range(3)] + [(20, "http://b.example/x", f"<body>{menu}<p>only0 here0</p></body>")]
     got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["text"] == "A & B\nx y z w\nnext" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" == got[3]["text"] and got[4]["text"] == "a < b & c"
-    assert [got[10 + i]["text"] for i in range(3)] == [f"only here {i}" for i in range(3)] and got[20]["text"] == "only here 0"
+    assert [got[10 + i]["text"] for i in range(3)] == [f"only{i} here{i}" for i in range(3)] and got[20]["text"] == "only0 here0"
     assert html.blocks("<div class='ad'>x<article>y</article>")[1] == [0, 2]
     assert html.blocks("<article>y</article><div class='comments'><article>c</article></div>")[1] == [2, 0]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
