@@ -136,7 +136,8 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     more are connected by the result.
 
     ``buckets`` has (bucket, id), ids of distinct sets. Each id is tested once
-    against the smallest id of its bucket, the leader. Two members that link
+    against its bucket's leader, the member that shares the largest buckets: the
+    text that others are copies of is in most of theirs. Two members that link
     with the leader need no test. For the others, ``test`` gives their difference
     from the leader: two sets as close as a link differ in few elements, so
     their differences must overlap, and a prefix join of the differences, with
@@ -147,8 +148,12 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     with a, b's size, and what ``difference`` gives.
     """
     over = Window.partitionBy("bucket")
-    shared = buckets.select("bucket", "id", F.min("id").over(over).alias("a"), F.max("id").over(over).alias("high"))
-    star = shared.where("a <> high and id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared = buckets.select("bucket", "id", F.count("*").over(over).alias("n"), F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
+    shared = materialize(shared.where("low <> high").select("bucket", "id", "n").distinct())
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    top = F.max(F.struct("w", F.negative("id").alias("rank"))).over(over)
+    led = shared.join(weight, "id").select("id", F.negative(top["rank"]).alias("a"))
+    star = led.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     tested = materialize(test(star))
     first = tested.where("ok").select("a", "b")
     label = components(first).withColumnRenamed("node", "b").withColumnRenamed("component", "c")

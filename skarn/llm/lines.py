@@ -31,6 +31,8 @@ MIN_CHARS = 20
 SHINGLE = 6
 BANDS, ROWS = 11, 5
 SIMILARITY = (8, 10)
+#: Text bytes that are worked on together.
+SLICE = 1 << 20
 #: Lists of lines to drop are broadcast up to this size in bytes, else joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -73,7 +75,7 @@ def signature(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) ->
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in K.slices(whole, "text"):
+        for b in K.slices(whole, "text", SLICE):
             low, starts, ends, _, _ = line_spans(b.column("text"))
             ids, first = np.unique(K.span_hashes(low, starts, ends), return_index=True)
             first = np.sort(first)
@@ -88,7 +90,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _occurrences(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in K.slices(whole, "text"):
+            for b in K.slices(whole, "text", SLICE):
                 low, starts, ends, row, place = line_spans(b.column("text"))
                 ids = K.int64(K.span_hashes(low, starts, ends))
                 if with_text:
@@ -115,7 +117,7 @@ def char_shingles(lines: pa.Array) -> list[np.ndarray]:
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in K.slices(whole, "y"):
+        for b in K.slices(whole, "y", SLICE):
             a = b.column("a").to_pylist()
             mine = [i for i in range(b.num_rows) if not i or a[i] != a[i - 1]]  # the first row of each a
             probes = dict(zip((a[i] for i in mine), char_shingles(b.column("x").take(pa.array(mine, pa.int64()))), strict=True))

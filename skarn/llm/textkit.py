@@ -47,12 +47,12 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, column: str, size: int = 0) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``size`` (SLICE_BYTES) bytes of text each."""
     _, offsets = buffers(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (size or SLICE_BYTES), "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
 
