@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import operator
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+
+
+def parity(members: list[np.ndarray]) -> np.ndarray:
+    """[sets, SKETCH] int64: of the elements that hash to each bit, odd or even.
+    The sketches of two sets differ in at most as many bits as the sets differ
+    in elements, so too many bits rule a link out."""
+    out = np.zeros((len(members), SKETCH * 64), np.uint8)
+    for i, s in enumerate(members):
+        out[i] = np.bincount((s >> np.uint64(17)).astype(np.int64) % (SKETCH * 64), minlength=SKETCH * 64) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], numerator: int, denominator: int) -> tuple[list[int], list[bytes]]:
     """(size of the difference from ``probe``, prefix of it) for each ascending
     set. The prefix is as long as it takes for any partner that may link with
@@ -119,6 +135,10 @@ def difference(members: list[np.ndarray], probe: np.ndarray, oks: list[bool], nu
     return sizes, prefixes
 
 
+_PREFIX = "a long, b long, ok boolean, size long, n_diff long, c long, token long, place int" + "".join(f", s{k} long" for k in range(SKETCH))
+_PREFIX_NAMES = [x.split()[0] for x in _PREFIX.split(", ")]
+
+
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         parts = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
@@ -127,7 +147,9 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         rest = [b.column(c).take(of) for c in ("a", "b", "ok", "size", "n_diff", "c")]
         token = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(token, pa.int64()), pa.array(place, pa.int32())], names=["a", "b", "ok", "size", "n_diff", "c", "token", "place"])
+        bits = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.int64).reshape(b.num_rows, SKETCH)[of.to_numpy()]
+        sketch = [pa.array(bits[:, k]) for k in range(SKETCH)]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(token, pa.int64()), pa.array(place, pa.int32()), *sketch], names=_PREFIX_NAMES)
 
 
 def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator: int, denominator: int) -> DataFrame:
@@ -141,11 +163,11 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     with the leader need no test. For the others, ``test`` gives their difference
     from the leader: two sets as close as a link differ in few elements, so
     their differences must overlap, and a prefix join of the differences, with
-    a bound by position, finds them exactly. A large group of near copies
+    bounds by position and by parity sketches, finds them exactly. A large group of near copies
     costs one test each and few pairs more.
 
-    ``test`` turns (a, b) into (a, b, ok, size, n_diff, prefix): whether b links
-    with a, b's size, and what ``difference`` gives.
+    ``test`` turns (a, b) into (a, b, ok, size, n_diff, prefix, sketch): whether b
+    links with a, b's size, and what ``difference`` and ``parity`` give.
     """
     over = Window.partitionBy("bucket")
     shared = buckets.select("bucket", "id", F.count("*").over(over).alias("n"), F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
@@ -159,14 +181,16 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     label = components(first).withColumnRenamed("node", "b").withColumnRenamed("component", "c")
     open_ = tested.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("out")).where("n > 1 and out > 0").select("a")
     family = tested.join(open_, "a", "left_semi").join(label, "b", "left").withColumn("c", F.coalesce("c", "b"))
-    family = materialize(family.select("a", "b", "ok", "size", "n_diff", "prefix", "c"))
-    rows = materialize(family.mapInArrow(_prefix_rows, "a long, b long, ok boolean, size long, n_diff long, c long, token long, place int"))
+    family = materialize(family.select("a", "b", "ok", "size", "n_diff", "prefix", "sketch", "c"))
+    rows = materialize(family.mapInArrow(_prefix_rows, _PREFIX))
     x, y = rows.alias("x"), rows.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & ~(F.col("x.ok") & F.col("y.ok"))
     # twice the overlap that a link needs, times (numerator + denominator)
     need = (F.col("x.n_diff") + F.col("y.n_diff")) * (numerator + denominator) - (F.col("x.size") + F.col("y.size")) * (denominator - numerator)
     most = F.least(F.col("x.n_diff") - F.col("x.place"), F.col("y.n_diff") - F.col("y.place"))
+    bits = reduce(operator.add, [F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)])
+    near = bits * (numerator + denominator) <= (F.col("x.size") + F.col("y.size")) * (denominator - numerator)
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
-    rest = x.join(y, same & apart & (2 * most * (numerator + denominator) >= need)).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    rest = x.join(y, same & apart & (2 * most * (numerator + denominator) >= need) & near).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     second = materialize(test(rest.distinct())).where("ok").select("a", "b")
     return first.union(second)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import textkit as K
-from skarn.llm.common import broadcast_if_small, components, difference, linked, materialize
+from skarn.llm.common import broadcast_if_small, components, difference, linked, materialize, parity
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 9, 10
@@ -104,17 +104,18 @@ def tree_matches(probe: np.ndarray, sets: list[np.ndarray], numerator: int = NUM
     return out
 
 
-TESTED = "a long, b long, ok boolean, size long, n_diff long, prefix binary"
+TESTED = "a long, b long, ok boolean, size long, n_diff long, prefix binary, sketch binary"
 
 
 def tested_rows(a: int, names: list[int], sets: list[np.ndarray], keep: list[bool], probe: np.ndarray, numerator: int, denominator: int) -> list[tuple]:
     sizes, prefixes = difference(sets, probe, keep, numerator, denominator)
-    return [(a, b, k, len(s), n, p) for b, k, s, n, p in zip(names, keep, sets, sizes, prefixes, strict=True)]
+    sketches = [x.tobytes() for x in parity(sets)]
+    return [(a, b, k, len(s), n, p, x) for b, k, s, n, p, x in zip(names, keep, sets, sizes, prefixes, sketches, strict=True)]
 
 
 def tested_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TESTED.split(", ")])
 
 
