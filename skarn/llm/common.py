@@ -152,7 +152,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, pa.array(token, pa.int64()), pa.array(place, pa.int32()), *sketch], names=_PREFIX_NAMES)
 
 
-def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator: int, denominator: int) -> DataFrame:
+def linked(buckets: DataFrame, test: Callable[[DataFrame, bool], DataFrame], numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) among the sets that share a bucket, up to components: every
     two sets of a bucket whose Jaccard similarity is numerator/denominator or
     more are connected by the result.
@@ -167,7 +167,8 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     costs one test each and few pairs more.
 
     ``test`` turns (a, b) into (a, b, ok, size, n_diff, prefix, sketch): whether b
-    links with a, b's size, and what ``difference`` and ``parity`` give.
+    links with a, b's size, and what ``difference`` and ``parity`` give; its
+    second argument says whether these are asked for.
     """
     over = Window.partitionBy("bucket")
     shared = buckets.select("bucket", "id", F.count("*").over(over).alias("n"), F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
@@ -176,7 +177,7 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     top = F.max(F.struct("w", F.negative("id").alias("rank"))).over(over)
     led = shared.join(weight, "id").select("id", F.negative(top["rank"]).alias("a"))
     star = led.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    tested = materialize(test(star))
+    tested = materialize(test(star, True))
     first = tested.where("ok").select("a", "b")
     label = components(first).withColumnRenamed("node", "b").withColumnRenamed("component", "c")
     open_ = tested.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("out")).where("n > 1 and out > 0").select("a")
@@ -192,5 +193,5 @@ def linked(buckets: DataFrame, test: Callable[[DataFrame], DataFrame], numerator
     near = bits * (numerator + denominator) <= (F.col("x.size") + F.col("y.size")) * (denominator - numerator)
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
     rest = x.join(y, same & apart & (2 * most * (numerator + denominator) >= need) & near).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    second = materialize(test(rest.distinct())).where("ok").select("a", "b")
+    second = materialize(test(rest.distinct(), False)).where("ok").select("a", "b")
     return first.union(second)

@@ -199,14 +199,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for i, j, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out += tested_rows(i, [j], [q], [SIMILARITY[1] * both >= SIMILARITY[0] * (len(p) + len(q) - both)], p, *SIMILARITY)
-        yield tested_batch(out)
+def _jaccard(full: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, j, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out += tested_rows(i, [j], [q], [SIMILARITY[1] * both >= SIMILARITY[0] * (len(p) + len(q) - both)], p, *SIMILARITY, full)
+            yield tested_batch(out)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,12 +219,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(shingle_sets(docs))
     own = materialize(sets.where(F.length("shingles") > 0).groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, full: bool) -> DataFrame:
         n = pairs.count()
         held = own.select("id", "shingles")
         wide = held.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(broadcast_if_small(pairs, n), "b")
         wide = held.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(wide, "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_jaccard, TESTED)
+        return wide.select("a", "b", "x", "y").mapInArrow(_jaccard(full), TESTED)
 
     label = components(linked(own.select("id", "fingerprint").mapInArrow(_bands, "bucket long, id long"), verify, *SIMILARITY))
     known = own.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("c"))

@@ -115,22 +115,25 @@ def char_shingles(lines: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in K.slices(whole, "y", SLICE):
-            a = b.column("a").to_pylist()
-            mine = [i for i in range(b.num_rows) if not i or a[i] != a[i - 1]]  # the first row of each a
-            probes = dict(zip((a[i] for i in mine), char_shingles(b.column("x").take(pa.array(mine, pa.int64()))), strict=True))
-            out = []
-            for i, name, s in zip(a, b.column("b").to_pylist(), char_shingles(b.column("y")), strict=True):
-                both = len(np.intersect1d(probes[i], s, assume_unique=True))
-                ok = SIMILARITY[1] * both >= SIMILARITY[0] * (len(probes[i]) + len(s) - both)
-                out += tested_rows(i, [name], [s], [ok], probes[i], *SIMILARITY)
-            yield tested_batch(out)
+def _close_pairs(full: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in K.slices(whole, "y", SLICE):
+                a = b.column("a").to_pylist()
+                mine = [i for i in range(b.num_rows) if not i or a[i] != a[i - 1]]  # the first row of each a
+                probes = dict(zip((a[i] for i in mine), char_shingles(b.column("x").take(pa.array(mine, pa.int64()))), strict=True))
+                out = []
+                for i, name, s in zip(a, b.column("b").to_pylist(), char_shingles(b.column("y")), strict=True):
+                    both = len(np.intersect1d(probes[i], s, assume_unique=True))
+                    ok = SIMILARITY[1] * both >= SIMILARITY[0] * (len(probes[i]) + len(s) - both)
+                    out += tested_rows(i, [name], [s], [ok], probes[i], *SIMILARITY, full)
+                yield tested_batch(out)
+
+    return run
 
 
 def _verifier(docs: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, full: bool) -> DataFrame:
         pairs = materialize(pairs)
         if not pairs.count():
             return docs.sparkSession.createDataFrame([], TESTED)
@@ -139,7 +142,7 @@ def _verifier(docs: DataFrame):
         lines = materialize(lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"]))
         wide = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         wide = wide.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs, TESTED)
+        return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs(full), TESTED)
 
     return verify
 

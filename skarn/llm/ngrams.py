@@ -107,7 +107,9 @@ def tree_matches(probe: np.ndarray, sets: list[np.ndarray], numerator: int = NUM
 TESTED = "a long, b long, ok boolean, size long, n_diff long, prefix binary, sketch binary"
 
 
-def tested_rows(a: int, names: list[int], sets: list[np.ndarray], keep: list[bool], probe: np.ndarray, numerator: int, denominator: int) -> list[tuple]:
+def tested_rows(a: int, names: list[int], sets: list[np.ndarray], keep: list[bool], probe: np.ndarray, numerator: int, denominator: int, full: bool) -> list[tuple]:
+    if not full:
+        return [(a, b, k, len(s), None, None, None) for b, k, s in zip(names, keep, sets, strict=True)]
     sizes, prefixes = difference(sets, probe, keep, numerator, denominator)
     sketches = [x.tobytes() for x in parity(sets)]
     return [(a, b, k, len(s), n, p, x) for b, k, s, n, p, x in zip(names, keep, sets, sizes, prefixes, sketches, strict=True)]
@@ -119,26 +121,29 @@ def tested_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TESTED.split(", ")])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by tree, the probe (b is null) first."""
-    probe, of, names, sets = None, None, [], []
+def _trees(full: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ordered by tree, the probe (b is null) first."""
+        probe, of, names, sets = None, None, [], []
 
-    def close() -> list[tuple]:
-        return tested_rows(of[0], names, sets, tree_matches(probe, sets), probe, NUMERATOR, DENOMINATOR) if sets else []
+        def close() -> list[tuple]:
+            return tested_rows(of[0], names, sets, tree_matches(probe, sets), probe, NUMERATOR, DENOMINATOR, full) if sets else []
 
-    for batch in batches:
-        out = []
-        for a, salt, b, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (a, salt) != of:
-                if of:
-                    out += close()
-                of, probe, names, sets = (a, salt), np.frombuffer(s, np.uint64), [], []
-            else:
-                names.append(b)
-                sets.append(np.frombuffer(s, np.uint64))
-        yield tested_batch(out)
-    if of:
-        yield tested_batch(close())
+        for batch in batches:
+            out = []
+            for a, salt, b, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (a, salt) != of:
+                    if of:
+                        out += close()
+                    of, probe, names, sets = (a, salt), np.frombuffer(s, np.uint64), [], []
+                else:
+                    names.append(b)
+                    sets.append(np.frombuffer(s, np.uint64))
+            yield tested_batch(out)
+        if of:
+            yield tested_batch(close())
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verifier(docs: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, full: bool) -> DataFrame:
         pairs = materialize(pairs)
         if not pairs.count():
             return docs.sparkSession.createDataFrame([], TESTED)
@@ -164,7 +169,7 @@ def _verifier(docs: DataFrame):
         members = dealt.join(sets.withColumnRenamed("id", "b"), "b")
         rows = probes.select("a", "salt", F.lit(None).cast("long").alias("b"), "s").union(members.select("a", "salt", "b", "s"))
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull()).mapInArrow(_trees, TESTED)
+        return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull()).mapInArrow(_trees(full), TESTED)
 
     return verify
 
