@@ -62,11 +62,16 @@ def line_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return low, starts[keep], ends[keep], row[keep], place[keep]
 
 
-def signature(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """MinHash of the character shingles of byte spans."""
+def gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the spans one after another, their bounds)."""
     size = ends - starts
     bounds = np.concatenate([[0], np.cumsum(size)])
-    flat = low[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)]
+    return low[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)], bounds
+
+
+def signature(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """MinHash of the character shingles of byte spans."""
+    flat, bounds = gathered(low, starts, ends)
     lead = (flat & 0xC0) != 0x80
     points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
     chars = np.concatenate([[0], np.cumsum(lead)])[bounds]
@@ -95,9 +100,9 @@ def _occurrences(with_text: bool):
                 ids = K.int64(K.span_hashes(low, starts, ends))
                 if with_text:
                     ids, first = np.unique(ids, return_index=True)
-                    text = low.tobytes()
-                    lines = [text[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["id", "line"])
+                    flat, bounds = gathered(low, starts[first], ends[first])
+                    lines = pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), lines], names=["id", "line"])
                 else:
                     doc = b.column("doc_id").cast(pa.int64()).take(pa.array(row))
                     out = pa.RecordBatch.from_arrays([pa.array(ids), doc, pa.array(place, pa.int32())], names=["id", "doc_id", "place"])
@@ -133,13 +138,17 @@ def _close_pairs(full: bool):
 
 
 def _verifier(docs: DataFrame):
+    held: list[DataFrame] = []  # the lines of the first pairs, of which later ones are made
+
     def verify(pairs: DataFrame, full: bool) -> DataFrame:
         pairs = materialize(pairs)
         if not pairs.count():
             return docs.sparkSession.createDataFrame([], TESTED)
-        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        lines = docs.select("text").mapInArrow(_occurrences(True), "id long, line string")
-        lines = materialize(lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"]))
+        if not held:
+            ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            lines = docs.select("text").mapInArrow(_occurrences(True), "id long, line string")
+            held.append(materialize(lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"])))
+        lines = held[0]
         wide = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         wide = wide.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
         return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs(full), TESTED)

@@ -155,14 +155,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verifier(docs: DataFrame):
+    held: list[DataFrame] = []  # the sets of the first pairs, of which later ones are made
+
     def verify(pairs: DataFrame, full: bool) -> DataFrame:
         pairs = materialize(pairs)
         if not pairs.count():
             return docs.sparkSession.createDataFrame([], TESTED)
-        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        few = broadcast_if_small(ids.withColumnRenamed("id", "doc_id"), ids.count())
-        sets = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary")
-        sets = materialize(sets).dropDuplicates(["id"])
+        if not held:
+            ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            few = broadcast_if_small(ids.withColumnRenamed("id", "doc_id"), ids.count())
+            sets = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(_sets, "id long, s binary")
+            held.append(materialize(sets.dropDuplicates(["id"])))
+        sets = held[0]
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees"))
         dealt = materialize(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("salt")))
         probes = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a")

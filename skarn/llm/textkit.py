@@ -118,6 +118,7 @@ def words(column, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
 
 
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_SIZE = np.uint64(0xA0761D6478BD642F)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,16 +130,19 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     total = int(out_bounds[-1])
     if not total:
         return np.zeros(0, np.uint64), out_bounds
-    at = np.arange(total) + np.repeat(bounds[:-1] - out_bounds[:-1], made)
-    long = np.repeat(np.minimum(counts, n), made)
-    h = long.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    padded = np.concatenate([hashes, np.zeros(n, np.uint64)])
-    for k in range(n):
-        part = padded[at + k] * _STEP[k]
-        if (counts[counts > 0] < n).any():
-            part[long <= k] = 0
-        h += part
-    return mix(h), out_bounds
+    # every run of n, also those over the end of a row; then the places that count
+    run = np.full(len(hashes), n * int(_SIZE) % (1 << 64), np.uint64)
+    for k in range(min(n, len(hashes))):
+        run[: len(hashes) - k] += hashes[k:] * _STEP[k]
+    out = run[np.arange(total) + np.repeat(bounds[:-1] - out_bounds[:-1], made)]
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        one = counts[short].astype(np.uint64) * _SIZE
+        for k in range(n - 1):
+            has = counts[short] > k
+            one[has] += hashes[bounds[short[has]] + k] * _STEP[k]
+        out[out_bounds[short]] = one
+    return mix(out), out_bounds
 
 
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
