@@ -351,6 +351,28 @@ def test_passages(docs, empty, texts):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def found_passages(spark, rows):
+    """(doc_id, ref_doc_id): most words of one passage."""
+    out = defaultdict(int)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out[r["doc_id"], r["ref_doc_id"]] = max(out[r["doc_id"], r["ref_doc_id"]], r["end_word"] - r["start_word"])
+    return out
+
+
+def test_passages_whose_parts_occur_elsewhere(spark):
+    r, rows = random.Random(11), []
+    some = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    sizes = [60, 80] * 15
+    for k, size in enumerate(sizes):
+        a, b = some(size // 2), some(size // 2)
+        rows += [(4 * k + i, f"{some(30)} {t} {some(30)}") for i, t in enumerate((a, b, f"{a} {b}", f"{a} {b}"))]
+    # parts of three earlier documents that lie over each other
+    words = [some(1) for _ in range(70)]
+    rows += [(1000 + i, f"{some(30)} {' '.join(words[low:high])} {some(30)}") for i, (low, high) in enumerate(((0, 40), (15, 55), (30, 70), (0, 70), (0, 70)))]
+    got = found_passages(spark, rows)
+    assert all(got[4 * k + 3, 4 * k + 2] >= size for k, size in enumerate(sizes)) and got[1004, 1003] >= 70
+
+
 def test_chains_ascend_and_pay_for_gaps():
     x, y = [0, 10, 20, 30, 500], [100, 110, 90, 130, 2000]
     best = passages.chains(x, y)[0]
