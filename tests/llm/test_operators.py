@@ -373,6 +373,25 @@ def test_passages_whose_parts_occur_elsewhere(spark):
     assert all(got[4 * k + 3, 4 * k + 2] >= size for k, size in enumerate(sizes)) and got[1004, 1003] >= 70
 
 
+def test_edited_passages(spark):
+    r, rows, edits = random.Random(12), [], []
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    for size in (55, 60, 80):
+        for share in (0.05, 0.1, 0.15, 0.18):
+            for _ in range(25):
+                a = some(size)
+                b = list(a)
+                # the outer words stay, so that the passage ends where it was put
+                for k in r.sample(range(2, size - 2), int(share * size)):
+                    b[k] = some(1)[0]
+                k = len(edits)
+                edits.append((size, share))
+                rows += [(2 * k + i, " ".join(some(40) + t + some(40))) for i, t in enumerate((a, b))]
+    got = found_passages(spark, rows)
+    missed = [e for k, e in enumerate(edits) if got[2 * k + 1, 2 * k] < passages.MIN_WORDS]
+    assert not missed, missed
+
+
 def test_chains_ascend_and_pay_for_gaps():
     x, y = [0, 10, 20, 30, 500], [100, 110, 90, 130, 2000]
     best = passages.chains(x, y)[0]
