@@ -1,14 +1,14 @@
 """Fuzzy line dedup: one line of each group of near-equal lines stays.
 
-Lines of MIN_CHARS code points or more, lower-cased (ASCII) and trimmed, are
-near-equal when the Jaccard similarity of their sets of 6-character shingles
+Lines that are not blank, lower-cased (ASCII) and trimmed, are near-equal when the Jaccard similarity of their sets of 6-character shingles
 is 0.8 or more. Candidates come from BANDS bands of ROWS MinHash values (a pair
 at the threshold is missed with a chance of 1.3 %, at 0.85 of 0.2 %), every
 candidate is verified exactly, and components are found by a distributed
 union-find. Of a component, the first line by (doc_id, line) stays, everywhere
-else its lines go. Shorter lines are not compared and stay.
+else its lines go. A line shorter than a shingle is near-equal to its exact
+repeats only, which are joined by hash without bands. Blank lines stay.
 
-Null and empty texts have no such lines and are returned as they are. Rows with
+Null and empty texts have no lines and are returned as they are. Rows with
 one doc_id count as one document: their equal lines at an equal place are one
 line. Rows whose doc_id is null keep all their lines.
 """
@@ -27,7 +27,8 @@ from skarn.llm import textkit as K
 from skarn.llm.common import broadcast_if_small, components, linked, materialize
 from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
 
-MIN_CHARS = 20
+#: Code points of a line that is compared.
+MIN_CHARS = 1
 SHINGLE = 6
 BANDS, ROWS = 11, 5
 SIMILARITY = (8, 10)
@@ -84,6 +85,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, starts, ends, _, _ = line_spans(b.column("text"))
             ids, first = np.unique(K.span_hashes(low, starts, ends), return_index=True)
             first = np.sort(first)
+            lead = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+            first = first[lead[ends[first]] - lead[starts[first]] >= SHINGLE]  # a shorter one is like no other
             ids = K.span_hashes(low, starts[first], ends[first])
             sig = signature(low, starts[first], ends[first], BANDS * ROWS).reshape(len(first), BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), sig.shape[:2]).copy()

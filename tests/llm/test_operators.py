@@ -248,6 +248,13 @@ def test_line_dedup(docs, empty, texts):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    texts = ["And ornd.\nOf.\n\na", "of.\n \n and ornd. \nÄ\nOf", "Of.\n\nOf.\nÄ\n12345678901234", "a\n\n\n123456789012345"]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["And ornd.\nOf.\n\na", " \nÄ\nOf", "\n12345678901234", "\n"]
+    assert [r["n_removed"] for r in got] == [0, 2, 3, 2]
+
+
 def test_decontamination(spark, docs, empty, texts):
     items = [(0, texts[11]), (1, "no such words are in any document at all"), (2, None), (3, ""), (4, " ".join(texts[-1].split()[7000:7030])), (5, texts[11]), (None, "q")]
     bench = spark.createDataFrame(items, "item_id long, text string")
