@@ -2,7 +2,7 @@
 
 Lines that are not blank, lower-cased (ASCII) and trimmed, are near-equal when the Jaccard similarity of their sets of 6-character shingles
 is 0.8 or more. Candidates come from BANDS bands of ROWS MinHash values (a pair
-at the threshold is missed with a chance of 1.3 %, at 0.85 of 0.2 %), every
+at the threshold is missed with a chance below 4e-6), every
 candidate is verified exactly, and components are found by a distributed
 union-find. Of a component, the first line by (doc_id, line) stays, everywhere
 else its lines go. A line shorter than a shingle is near-equal to its exact
@@ -30,7 +30,7 @@ from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
 #: Code points of a line that is compared.
 MIN_CHARS = 1
 SHINGLE = 6
-BANDS, ROWS = 11, 5
+BANDS, ROWS = 32, 5
 SIMILARITY = (8, 10)
 #: Text bytes that are worked on together.
 SLICE = 1 << 20

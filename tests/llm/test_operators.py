@@ -255,6 +255,16 @@ def test_short_lines_are_compared(spark):
     assert [r["n_removed"] for r in got] == [0, 2, 3, 2]
 
 
+def test_isolated_pairs_of_lines_at_the_threshold(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(1000):
+        line = "".join(r.choice("etaoinshrdlucmfw") for _ in range(50))
+        rows += [(2 * i, line), (2 * i + 1, line[:41])]  # 36 of 45 shingles
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_removed = 1").count() == 1000
+
+
 def test_decontamination(spark, docs, empty, texts):
     items = [(0, texts[11]), (1, "no such words are in any document at all"), (2, None), (3, ""), (4, " ".join(texts[-1].split()[7000:7030])), (5, texts[11]), (None, "q")]
     bench = spark.createDataFrame(items, "item_id long, text string")
