@@ -3,11 +3,15 @@
 A language is a probability for every piece of a fixed public vocabulary. A
 word's likelihood is the sum over all its segmentations into pieces, by the
 forward algorithm; a text's is the product over its words (pre-tokens of
-letters). Words above CUT bytes are scored in stretches of CUT bytes.
+letters). Words are scored whole, whatever their length: those of up to BATCHED
+bytes in batches of one length, longer ones each by itself with scaled sums.
 
 Null texts and texts without letters are ``und`` with score 0, as is every text
 if there is nothing to learn from. Rows without a language or an id that can be
-tested are never learned from.
+tested are never learned from. Of equally likely languages the first by name is
+predicted. Repeated rows give repeated rows, an empty table none. Texts of any
+length are scored whole, in slices of rows. Columns of the input that are named
+lang_pred or score are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from skarn.llm import pretokens as T
 from skarn.llm import textkit as K
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CUT = 48
+#: Bytes of a word that is scored in a batch with others of its length.
+BATCHED = 48
 #: Documents of a language that the model is fitted on, in expectation: a sample by hash of the id.
 SAMPLE = 3000
 SMOOTHING = 0.1
-KEPT = 1_000_000
+#: Words whose scores a worker keeps between slices.
+KEPT = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -58,9 +64,7 @@ class Pieces:
         data = np.frombuffer(b"".join(names), np.uint8)
         size = np.array([len(x) for x in names])
         ends = np.cumsum(size)
-        up, down = K.powers(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        h = (sums[ends] - sums[ends - size]) * down[ends - size] + size.astype(np.uint64) * _LENGTH
+        h = _window_hashes(data, ends - size, size)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array([ranks[x] for x in names])[order]
         self.filter = np.zeros(1 << 22, bool)
@@ -75,6 +79,24 @@ class Pieces:
 
 
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _window_hashes(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of short spans, each from its own first byte. Pieces are
+    far shorter than the texts for which such hashes are known to collide."""
+    out = np.zeros(len(low), np.uint64)
+    up = _powers(_BASE, int(size.max(initial=0)) + 1)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[has] += (data[low[has] + k].astype(np.uint64) + np.uint64(1)) * up[k]
+    return out + size.astype(np.uint64) * _LENGTH
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -82,22 +104,16 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def forward(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """[words, languages] log likelihood of each byte span; ``table`` is [piece
-    ids, languages] probabilities."""
+    """[words, languages] log likelihood of each byte span, summed over all of
+    its segmentations; ``table`` is [piece ids, languages] probabilities."""
     out = np.zeros((len(starts), table.shape[1]))
     size = ends - starts
-    # long words fall into stretches of CUT bytes, the last one shorter
-    count = np.maximum(1, -(-size // CUT))
-    of = np.repeat(np.arange(len(starts)), count)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    low = starts[of] + nth * CUT
-    length = np.minimum(ends[of] - low, CUT)
-    up, down = K.powers(CUT + 1)
-    for n in np.unique(length).tolist():
-        every = np.flatnonzero(length == n)
-        for at in range(0, len(every), 1 << 14):
-            mine = every[at : at + (1 << 14)]
-            text = data[low[mine][:, None] + np.arange(n)]
+    up, down = _powers(_BASE, BATCHED + 1), _powers(pow(_BASE, -1, 1 << 64), BATCHED + 1)
+    for n in np.unique(size[size <= BATCHED]).tolist():
+        every = np.flatnonzero(size == n)
+        for at in range(0, len(every), 1 << 12):
+            mine = every[at : at + (1 << 12)]
+            text = data[starts[mine][:, None] + np.arange(n)]
             sums = np.zeros((n + 1, len(mine)), np.uint64)
             np.cumsum((text.T.astype(np.uint64) + np.uint64(1)) * up[:n, None], axis=0, out=sums[1:])
             alpha = np.zeros((n + 1, len(mine), table.shape[1]))
@@ -106,10 +122,49 @@ def forward(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
                 for i in range(max(0, j - pieces.longest), j):
                     hit, ids = pieces.find((sums[j] - sums[i]) * down[i] + np.uint64((j - i) * int(_LENGTH) % (1 << 64)))
                     alpha[j, hit] += alpha[i, hit] * table[ids]
-            np.add.at(out, of[mine], np.log(np.maximum(alpha[n], 1e-300)))
+            out[mine] = np.log(np.maximum(alpha[n], 1e-300))
+    for k in np.flatnonzero(size > BATCHED).tolist():
+        out[k] = _forward_long(data[starts[k] : ends[k]], pieces, table)
     return out
 
 
+def _forward_long(word: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """The same for one word of any length. Sums are rescaled at every byte; the
+    last ``longest`` of them are kept, and pieces are looked up in stretches."""
+    n, span = len(word), pieces.longest
+    ring, logs = np.zeros((span + 1, table.shape[1])), np.zeros(table.shape[1])
+    ring[0] = 1
+    padded = np.concatenate([word, np.zeros(span, np.uint8)])
+    up = _powers(_BASE, span + 1)
+    for base in range(0, n, 1 << 14):
+        # every piece that ends in (base, top]
+        top, low = min(n, base + (1 << 14)), max(0, base - span)
+        begin, final, ids = [], [], []
+        h = np.zeros(top - low, np.uint64)
+        for k in range(span):
+            h += (padded[low + k : top + k].astype(np.uint64) + np.uint64(1)) * up[k]
+            at, found = pieces.find(h + np.uint64((k + 1) * int(_LENGTH) % (1 << 64)))
+            end = at + low + k + 1
+            ok = (end > base) & (end <= top)
+            begin.append(at[ok] + low)
+            final.append(end[ok])
+            ids.append(found[ok])
+        b, f, p = (np.concatenate(x) for x in (begin, final, ids))
+        order = np.argsort(f, kind="stable")
+        b, f, p = b[order] % (span + 1), f[order], p[order]
+        cuts = np.searchsorted(f, np.arange(base + 1, top + 2))
+        for j in range(base + 1, top + 1):
+            mine = slice(cuts[j - base - 1], cuts[j - base])
+            now = (ring[b[mine]] * table[p[mine]]).sum(0)
+            # each language is scaled so that its sum here is 1; a place that no piece reaches stays 0
+            scale = np.where(now > 0, now, 1.0)
+            ring[j % (span + 1)] = now
+            ring = np.minimum(ring / scale, 1e250)
+            logs += np.log(scale)
+    last = ring[n % (span + 1)]
+    return np.where(last > 0, logs + np.log(np.maximum(last, 1e-300)), -690.0)
+
+
 def _piece_counts(path: str):
     """Count the pieces of each language's words, by the tokenizer's own segmentation."""
 
@@ -158,8 +213,9 @@ def fit(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> Model
     langs = sorted(sizes)
     if not langs:
         return Model([], [], np.zeros((1, 0)))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(1_000_000 * min(1.0, sample / sizes[k])))])
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))])
+    dealt = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    some = known.where(dealt < share[F.col("lang")]).select("text", "lang")
     rows = some.mapInArrow(_piece_counts(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((max(read_ranks(path).values()) + 1, len(langs)))
     place = {k: i for i, k in enumerate(langs)}

@@ -14,12 +14,7 @@ import pyarrow as pa
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Text bytes that are worked on together; a single longer row is taken alone.
-SLICE_BYTES = 4 << 20
-
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
+SLICE_BYTES = 1 << 20
 
 def _table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -57,15 +52,6 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 0) -> Iterator[pa.Rec
         at = end
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES)
-        up, down = np.full(n, _BASE), np.full(n, _UNBASE)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -74,19 +60,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+#: What is kept of eight bytes of which the first 0 to 8 count.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """uint64 hash of each byte span; spans ascend and do not overlap."""
+    """uint64 hash of each byte span; spans ascend and do not overlap.
+
+    Each eight bytes go through ``mix`` with a key of their place before they
+    are summed, so that no arithmetic relation between texts survives, as it
+    does in a polynomial modulo a power of two.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
         base, top = int(starts[at]), int(ends[stop - 1])
-        part = data[base:top]
-        up, down = powers(top - base + 1)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(((_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)) * up[: top - base], out=sums[1:])
-        s, e = starts[at:stop] - base, ends[at:stop] - base
-        out[at:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        part = np.zeros(top - base + 8, np.uint8)
+        part[: top - base] = _LOWER[data[base:top]] if lower else data[base:top]
+        eight = np.ndarray((top - base + 1,), "<u8", part, strides=(1,))  # the eight bytes from each place on
+        s, size = starts[at:stop] - base, ends[at:stop] - starts[at:stop]
+        sums = mix((eight[s] & _MASKS[np.minimum(size, 8)]) ^ _PLACE)
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            count = (size[more] + 7) // 8 - 1
+            first = np.cumsum(count) - count
+            nth = np.arange(count.sum()) - np.repeat(first, count) + 1
+            place = np.repeat(s[more], count) + 8 * nth
+            left = np.minimum(np.repeat(size[more], count) - 8 * nth, 8)
+            sums[more] += np.add.reduceat(mix((eight[place] & _MASKS[left]) ^ ((nth + 1).astype(np.uint64) * _PLACE)), first)
+        out[at:stop] = mix(sums + size.astype(np.uint64) * _LENGTH)
         at = stop
     return out
 

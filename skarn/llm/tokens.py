@@ -20,7 +20,7 @@ from skarn.llm import textkit as K
 
 LIMIT = 1024
 #: Distinct pre-tokens whose ids a worker keeps between slices of text.
-KEPT = 1_000_000
+KEPT = 200_000
 #: Buckets of pre-tokens are at most so many, at any size of the input.
 BUCKETS = 4096
 
