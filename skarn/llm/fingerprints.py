@@ -3,18 +3,20 @@
 ``fingerprint`` holds PERMUTATIONS minima (16 bits each, base64) of universal
 hashes over the document's 5-word shingles; two fingerprints' likeness is the
 share of equal places, an estimate of the Jaccard similarity of the shingle
-sets. ``near_duplicates`` joins bands of fingerprints in Spark and verifies
-pairs by exact Jaccard.
+sets. Bands of fingerprints are joined in Spark and candidates verified by exact
+Jaccard: documents that reach 0.8, directly or through others, share a
+component_id (a pair at 0.8 shares no band with a chance of 5e-5).
 
 Null and empty texts have no shingles: their fingerprint is all ones, alike
-with each other and unlike anything else. Texts below five words are one
-shingle. Repeated rows and ids give repeated rows. Empty tables give none.
+with each other and unlike anything else, and they are their own component.
+Texts below five words are one shingle. Repeated rows and ids give repeated
+rows. Empty tables give none. Texts of any length are worked on whole, in slices
+of rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -24,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import textkit as K
-from skarn.llm.common import broadcast_if_small, components, linked, materialize
-from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
+from skarn.llm.common import Sets, band_keys, broadcast_if_small, components, linked, materialize, release, shared_buckets, similar
+from skarn.llm.ngrams import _content, _decode, digest
 
 PERMUTATIONS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+_PLACES = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
 SIMILARITY = (8, 10)
-#: Rows that one range of the ordered documents holds.
-RANGE_ROWS = 8192
+#: Ranges of ids that the ordered documents are dealt into, for each task of a shuffle, so that tasks are alike.
+RANGES = 4
 
 
 def signatures(texts: pa.Array) -> np.ndarray:
@@ -40,6 +43,12 @@ def signatures(texts: pa.Array) -> np.ndarray:
     return K.minhash(*K.shingles(*K.words(texts), SHINGLE), PERMUTATIONS).astype(np.uint16)
 
 
+def set_ids(texts: pa.Array) -> np.ndarray:
+    """Digest of each text's set of shingles, 0 without words."""
+    h, bounds = K.shingles(*K.words(texts), SHINGLE)
+    return np.array([digest(np.unique(h[x:y])) if y > x else 0 for x, y in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
+
+
 def encode(signature: np.ndarray) -> list[str]:
     return [base64.b64encode(row.tobytes()).decode() for row in signature]
 
@@ -63,11 +72,11 @@ def _many(texts: list[str]) -> np.ndarray:
 
 def _ranges(docs: DataFrame) -> DataFrame:
     """``docs`` with ``range`` (0: the largest ids) and ``n`` of rows, plus, as rows with
-    ``own`` false, a copy of the row that follows each range's last one."""
+    ``own`` false, a copy of the row that follows each range's last one. The
+    driver holds RANGES ids for each task of a shuffle, whatever the rows."""
     ids = docs.select("doc_id")
     n, low = ids.agg(F.count("*"), F.count("doc_id")).first()
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-n // RANGE_ROWS), min(4 * tasks, n // 64))  # several to a task, so that tasks are alike
+    parts = max(1, min(RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 64))
     cuts: list[int] = []
     if low and parts > 1:
         points = [i / parts for i in range(1, parts)]
@@ -84,19 +93,15 @@ def _ranges(docs: DataFrame) -> DataFrame:
             )
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "range int, doc_id long, text string")
-    # The first row of a range is its largest id (then the smallest text); one per range.
-    heads = {r["range"]: r["doc_id"] for r in _range_tops(ids, cuts)}
-    order = sorted(heads)
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the range that needs this one's first row
-    top = [heads[r] for r in order if heads[r] is not None]
-    first = dealt.where(F.col("doc_id").isin(top)) if top else dealt.limit(0)
-    if any(heads[r] is None for r in order):
-        first = first.union(dealt.where("doc_id is null"))
-    first = first.groupBy("range", "doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("k"), "text")).alias("m"))
-    needed_by = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])]) if order else F.lit(None)
-    first = first.select(needed_by[F.col("range")].cast("int").alias("range"), "doc_id", F.col("m.text").alias("text"), F.lit(False).alias("own")) if order else None
-    own = dealt.withColumn("own", F.lit(True))
-    return own.union(first) if first is not None else own
+    # The first row of a range is its largest id (then the smallest text); the range before it needs a copy.
+    heads = sorted((r["range"], r["doc_id"]) for r in _range_tops(ids, cuts))
+    if not heads:
+        return dealt.withColumn("own", F.lit(True))
+    needed = docs.sparkSession.createDataFrame([(r, heads[i - 1][0], d) for i, (r, d) in enumerate(heads)], "range int, to int, top long")
+    first = dealt.join(F.broadcast(needed), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    first = first.groupBy("to", "doc_id").agg(F.min(F.struct(F.col("text").isNotNull().alias("k"), "text")).alias("m"))
+    first = first.select(F.col("to").alias("range"), "doc_id", F.col("m.text").alias("text"), F.lit(False).alias("own"))
+    return dealt.withColumn("own", F.lit(True)).union(first)
 
 
 def _range_tops(ids: DataFrame, cuts: list[int]) -> list:
@@ -117,7 +122,7 @@ def _range_tops(ids: DataFrame, cuts: list[int]) -> list:
 
 
 _OUT = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("set_id", pa.int64())]
 )
 
 
@@ -126,10 +131,10 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None  # the row that waits for the next one: (range, own, id, text, signature)
 
     def close(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [t for _, _, t, _, _, _ in rows]
-        edits = [t[: len(t) - len(t) // 3] + nxt[: len(t) // 3] for _, _, t, _, nxt, _ in rows]
-        own, changed = np.array([s for *_, s, _, _ in rows]).reshape(len(rows), -1), _many(edits)
-        follow = np.array([s for *_, s in rows]).reshape(len(rows), -1)
+        texts = [r[2] for r in rows]
+        edits = [t[: len(t) - len(t) // 3] + nxt[: len(t) // 3] for _, _, t, _, nxt, _, _ in rows]
+        own, changed = np.array([r[3] for r in rows]).reshape(len(rows), -1), _many(edits)
+        follow = np.array([r[5] for r in rows]).reshape(len(rows), -1)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([i for _, i, *_ in rows], pa.int64()),
@@ -139,6 +144,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(encode(changed)),
                 pa.array((own == changed).mean(1) if rows else [], pa.float64()),
                 pa.array((own == follow).mean(1) if rows else [], pa.float64()),
+                pa.array([r[6] for r in rows], pa.int64()),
             ],
             schema=_OUT,
         )
@@ -146,88 +152,71 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in K.slices(whole, "text"):
             texts = b.column("text").fill_null("").to_pylist()
-            sigs = _many(texts)
+            sigs, ids = _many(texts), set_ids(b.column("text"))
             rows = []
-            for r, own, i, t, s in zip(b.column("range").to_pylist(), b.column("own").to_pylist(), b.column("doc_id").to_pylist(), texts, sigs, strict=True):
+            for r, own, i, t, s, x in zip(b.column("range").to_pylist(), b.column("own").to_pylist(), b.column("doc_id").to_pylist(), texts, sigs, ids.tolist(), strict=True):
                 if held and held[0] == r and held[1]:
-                    rows.append((r, held[2], held[3], held[4], t, s))
-                held = (r, own, i, t, s)
+                    rows.append((r, *held[2:5], t, s, held[5]))
+                held = (r, own, i, t, s, x)
             if rows:
-                yield close([(r, i, t, s, nxt, f) for r, i, t, s, nxt, f in rows])
+                yield close(rows)
+
+
+_REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, set_id long"
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text: the last third of
     its code points replaced by the first as many of the next document by
     descending doc_id (after the last comes the first; null ids last, equal ids
-    by text). One shuffle of the texts into ranges of ids; each range gets a
-    copy of the single row that follows it."""
+    by text), and component_id of ``near_duplicates``. One shuffle of the texts
+    into ranges of ids; each range gets a copy of the single row that follows it."""
+    grouped = _grouped(docs)
     rows = _ranges(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "range").sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
-    return ordered.select("range", "own", "doc_id", "text").mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = ordered.select("range", "own", "doc_id", "text").mapInArrow(_edited, _REPORT)
+    out = out.join(broadcast_if_small(grouped, grouped.count()), "set_id", "left")
+    return out.select(*[c.split()[0] for c in _REPORT.split(", ")[:-1]], F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, fingerprint, shingles): ``id`` is a hash of the set of
-    shingles, so documents with equal sets share it."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "text"):
-                h, bounds = K.shingles(*K.words(b.column("text")), SHINGLE)
-                sig = K.minhash(h, bounds, PERMUTATIONS).astype(np.uint16)
-                own = [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in own]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())],
-                    names=["doc_id", "id", "fingerprint", "shingles"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, id long, fingerprint binary, shingles binary")
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in K.slices(whole, "text"):
+            sig = signatures(b.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array(set_ids(b.column("text"))), pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "id", "fingerprint"],
+            )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("fingerprint").to_pylist()), np.uint16).reshape(b.num_rows, -1)[:, : BANDS * ROWS]
-        parts = sig.reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), parts.shape[:2]).copy()
-        for k in range(ROWS):
-            key = K.mix(key ^ parts[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(K.int64(key.ravel())), pa.array(np.repeat(b.column("id").to_numpy(), BANDS))], names=["bucket", "id"]
-        )
-
-
-def _jaccard(full: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, j, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out += tested_rows(i, [j], [q], [SIMILARITY[1] * both >= SIMILARITY[0] * (len(p) + len(q) - both)], p, *SIMILARITY, full)
-            yield tested_batch(out)
-
-    return run
+        for at in range(0, b.num_rows, 1 << 13):
+            part = b.slice(at, 1 << 13)
+            ids, first = np.unique(part.column("id").to_numpy(), return_index=True)
+            sig = np.frombuffer(b"".join(part.column("fingerprint").take(pa.array(first)).to_pylist()), np.uint16).reshape(len(ids), -1)
+            yield band_keys(sig, _PLACES).ravel(), np.repeat(ids, BANDS)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(set_id, component_id) of the sets that stand in two documents or more or link with others."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    base = materialize(docs.where("text is not null and doc_id is not null").mapInArrow(_signed, "doc_id long, id long, fingerprint binary").where("id <> 0"))
+    kind = Sets(_content(docs, base, SHINGLE), _decode, similar(*SIMILARITY), *SIMILARITY)
+    label = components(linked(shared_buckets(base.select("id", "fingerprint"), _entries), kind)).withColumnRenamed("node", "id")
+    own = base.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).join(broadcast_if_small(label, label.count()), "id", "left")
+    own = materialize(own.where("first <> last or component is not null").select("id", "first", F.coalesce("component", "id").alias("c")))
+    low = materialize(own.groupBy("c").agg(F.min("first").alias("component_id")))
+    out = materialize(own.join(broadcast_if_small(low, low.count()), "c").select(F.col("id").alias("set_id"), "component_id"))
+    release(base, own, low)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): documents linked, directly or through others, by
     a Jaccard similarity of 0.8 or more of their 5-word shingle sets; the
     component is its smallest doc_id. Texts without words stand alone."""
-    sets = materialize(shingle_sets(docs))
-    own = materialize(sets.where(F.length("shingles") > 0).groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles")))
-
-    def verify(pairs: DataFrame, full: bool) -> DataFrame:
-        n = pairs.count()
-        held = own.select("id", "shingles")
-        wide = held.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(broadcast_if_small(pairs, n), "b")
-        wide = held.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(wide, "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_jaccard(full), TESTED)
-
-    label = components(linked(own.select("id", "fingerprint").mapInArrow(_bands, "bucket long, id long"), verify, *SIMILARITY))
-    known = own.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("c"))
-    low = known.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = known.join(low, "c").select("id", "component_id")
-    return sets.select("doc_id", "id").join(named, "id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = _grouped(docs)
+    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signed, "doc_id long, id long, fingerprint binary").select("doc_id", F.col("id").alias("set_id"))
+    return own.join(broadcast_if_small(grouped, grouped.count()), "set_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,16 +1,26 @@
 """Fuzzy line dedup: one line of each group of near-equal lines stays.
 
-Lines that are not blank, lower-cased (ASCII) and trimmed, are near-equal when the Jaccard similarity of their sets of 6-character shingles
-is 0.8 or more. Candidates come from BANDS bands of ROWS MinHash values (a pair
-at the threshold is missed with a chance below 4e-6), every
-candidate is verified exactly, and components are found by a distributed
+Lines that are not blank, lower-cased (ASCII) and trimmed, are near-equal when
+the Jaccard similarity of their sets of 6-character shingles is 0.8 or more.
+Candidates come from BANDS bands of ROWS MinHash values (a pair at the threshold
+is missed with a chance of about 4e-6; tests measure the recall). The values of
+a line below SPLIT shingles come from as many permutations. The shingles of a
+longer one are parted by hash into PARTS, each of which gives a value for each
+of PARTS times fewer permutations, a band being of ROWS different parts; lines
+up to LIKE times as long as SPLIT have both, so that they meet either kind.
+Every candidate is verified exactly, and components are found by a distributed
 union-find. Of a component, the first line by (doc_id, line) stays, everywhere
 else its lines go. A line shorter than a shingle is near-equal to its exact
 repeats only, which are joined by hash without bands. Blank lines stay.
 
+Lines are named by 64-bit hashes: of n distinct lines any two share one by
+accident with a chance of n * n / 2**65.
+
 Null and empty texts have no lines and are returned as they are. Rows with
 one doc_id count as one document: their equal lines at an equal place are one
-line. Rows whose doc_id is null keep all their lines.
+line. Rows whose doc_id is null keep all their lines. Texts and lines of any
+length are worked on whole, in slices of rows. Empty tables give no rows.
+Columns named n_lines or n_removed are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,20 +34,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from skarn.llm import textkit as K
-from skarn.llm.common import broadcast_if_small, components, linked, materialize
-from skarn.llm.ngrams import TESTED, tested_batch, tested_rows
+from skarn.llm.common import Sets, band_keys, broadcast_if_small, components, linked, materialize, release, shared_buckets, similar
 
-#: Code points of a line that is compared.
-MIN_CHARS = 1
 SHINGLE = 6
 BANDS, ROWS = 32, 5
+SPLIT, PARTS = 128, 8
+#: Two near-equal lines differ in their number of shingles by this factor at most.
+LIKE = 1.25
 SIMILARITY = (8, 10)
-#: Text bytes that are worked on together.
-SLICE = 1 << 20
 #: Lists of lines to drop are broadcast up to this size in bytes, else joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
+_PLACES = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
+#: Value j of part p stands at p * (BANDS * ROWS / PARTS) + j; neighbours in this order are of different parts.
+_PARTED = np.arange(BANDS * ROWS).reshape(PARTS, -1).T.reshape(BANDS, ROWS)
+
+
 def line_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, row, place in the row) of lines that are compared,
     lower-cased and without the white space around them."""
@@ -57,10 +70,7 @@ def line_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     solid = np.flatnonzero(~K._SEPARATORS[False][data])
     a, z = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
     has = np.flatnonzero(a <= z)
-    starts, ends, row, place = solid[a[has]], solid[z[has]] + 1, row[has], place[has]
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    keep = lead[ends] - lead[starts] >= MIN_CHARS
-    return low, starts[keep], ends[keep], row[keep], place[keep]
+    return low, solid[a[has]], solid[z[has]] + 1, row[has], place[has]
 
 
 def gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,137 +80,123 @@ def gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return low[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)], bounds
 
 
-def signature(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """MinHash of the character shingles of byte spans."""
-    flat, bounds = gathered(low, starts, ends)
-    lead = (flat & 0xC0) != 0x80
-    points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = np.concatenate([[0], np.cumsum(lead)])[bounds]
-    return K.minhash(*K.shingles(points, chars, SHINGLE), k)
+_SEEN = "id long, doc_id long, place int, line binary"
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line with its document and place; its bytes once in a slice."""
     for whole in batches:
-        for b in K.slices(whole, "text", SLICE):
-            low, starts, ends, _, _ = line_spans(b.column("text"))
-            ids, first = np.unique(K.span_hashes(low, starts, ends), return_index=True)
-            first = np.sort(first)
-            lead = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-            first = first[lead[ends[first]] - lead[starts[first]] >= SHINGLE]  # a shorter one is like no other
-            ids = K.span_hashes(low, starts[first], ends[first])
-            sig = signature(low, starts[first], ends[first], BANDS * ROWS).reshape(len(first), BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), sig.shape[:2]).copy()
-            for k in range(ROWS):
-                key = K.mix(key + sig[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(K.int64(key.ravel())), pa.array(np.repeat(K.int64(ids), BANDS))], names=["bucket", "id"])
-
-
-def _occurrences(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "text", SLICE):
-                low, starts, ends, row, place = line_spans(b.column("text"))
-                ids = K.int64(K.span_hashes(low, starts, ends))
-                if with_text:
-                    ids, first = np.unique(ids, return_index=True)
-                    flat, bounds = gathered(low, starts[first], ends[first])
-                    lines = pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), lines], names=["id", "line"])
-                else:
-                    doc = b.column("doc_id").cast(pa.int64()).take(pa.array(row))
-                    out = pa.RecordBatch.from_arrays([pa.array(ids), doc, pa.array(place, pa.int32())], names=["id", "doc_id", "place"])
-                    yield out.filter(doc.is_valid())
-
-    return run
-
-
-def char_shingles(lines: pa.Array) -> list[np.ndarray]:
-    """The ascending set of hashed character shingles of each line."""
+        for b in K.slices(whole, "text"):
+            low, starts, ends, row, place = line_spans(b.column("text"))
+            ids = K.span_hashes(low, starts, ends)
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            flat, bounds = gathered(low, starts, np.where(first, ends, starts))
+            lines = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [pa.py_buffer(np.packbits(first, bitorder="little")), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
+            doc = b.column("doc_id").cast(pa.int64()).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(K.int64(ids)), doc, pa.array(place, pa.int32()), lines], names=["id", "doc_id", "place", "line"])
+
+
+def _points(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all lines, bounds)."""
     data, offsets = K.buffers(lines)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    h, bounds = K.shingles(points, chars, SHINGLE)
-    return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _close_pairs(full: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "y", SLICE):
-                a = b.column("a").to_pylist()
-                mine = [i for i in range(b.num_rows) if not i or a[i] != a[i - 1]]  # the first row of each a
-                probes = dict(zip((a[i] for i in mine), char_shingles(b.column("x").take(pa.array(mine, pa.int64()))), strict=True))
-                out = []
-                for i, name, s in zip(a, b.column("b").to_pylist(), char_shingles(b.column("y")), strict=True):
-                    both = len(np.intersect1d(probes[i], s, assume_unique=True))
-                    ok = SIMILARITY[1] * both >= SIMILARITY[0] * (len(probes[i]) + len(s) - both)
-                    out += tested_rows(i, [name], [s], [ok], probes[i], *SIMILARITY, full)
-                yield tested_batch(out)
-
-    return run
-
-
-def _verifier(docs: DataFrame):
-    held: list[DataFrame] = []  # the lines of the first pairs, of which later ones are made
-
-    def verify(pairs: DataFrame, full: bool) -> DataFrame:
-        pairs = materialize(pairs)
-        if not pairs.count():
-            return docs.sparkSession.createDataFrame([], TESTED)
-        if not held:
-            ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-            lines = docs.select("text").mapInArrow(_occurrences(True), "id long, line string")
-            held.append(materialize(lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"])))
-        lines = held[0]
-        wide = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        wide = wide.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        return wide.select("a", "b", "x", "y").mapInArrow(_close_pairs(full), TESTED)
-
-    return verify
-
-
-def line_components(docs: DataFrame) -> DataFrame:
-    """(id, component) of distinct lines (by hash) that are near-equal to another one."""
-    bands = docs.select("text").mapInArrow(_band_rows, "bucket long, id long")
-    return components(linked(bands, _verifier(docs), *SIMILARITY)).withColumnRenamed("node", "id")
+    if not (data & 0x80).any():
+        return data, offsets
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+
+
+def parted_minhash(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """[rows, BANDS * ROWS] minima of the parts of each row's hashes."""
+    rows, k = len(bounds) - 1, BANDS * ROWS // PARTS
+    part = (h & np.uint64(PARTS - 1)).astype(np.uint8)
+    order = np.argsort(part, kind="stable")  # by part, and in it by row
+    size = np.bincount(part.astype(np.int64) * rows + np.repeat(np.arange(rows), np.diff(bounds)), minlength=PARTS * rows)
+    values = K.minhash(h[order], np.concatenate([[0], np.cumsum(size)]), k)
+    return values.reshape(PARTS, rows, k).transpose(1, 0, 2).reshape(rows, PARTS * k)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for whole in batches:
+        for b in K.slices(whole, "line"):
+            points, bounds = _points(b.column("line"))
+            ids, size = b.column("id").to_numpy(), np.diff(bounds) - SHINGLE + 1
+            h, rows = K.shingles(points.astype(np.uint64), bounds, SHINGLE)
+            # a line below a shingle is like no other
+            for has, made, places in (((size > 0) & (size <= SPLIT * LIKE), lambda *x: K.minhash(*x, BANDS * ROWS), _PLACES), (size >= SPLIT, parted_minhash, _PARTED)):
+                if has.any():
+                    mine = h[np.repeat(has, np.diff(rows))]
+                    keys = band_keys(made(mine, np.concatenate([[0], np.cumsum(np.diff(rows)[has])])), places)
+                    yield (keys if places is _PLACES else K.mix(keys)).ravel(), np.repeat(ids[has], BANDS)
+
+
+def char_shingles(lines: list[bytes]) -> list[np.ndarray]:
+    """The ascending set of hashed character shingles of each line."""
+    points, bounds = _points(pa.array(lines, pa.binary()))
+    h, rows = K.shingles(points.astype(np.uint64), bounds, SHINGLE)
+    return [np.unique(h[x:y]) for x, y in zip(rows[:-1], rows[1:], strict=True)]
+
+
+def line_components(seen: DataFrame) -> DataFrame:
+    """(id, component) of distinct lines (by hash) that are near-equal to another
+    one; ``seen`` is what ``_occurrences`` gives."""
+    lines = seen.where("line is not null").select("id", "line")
+
+    def content(ids: DataFrame) -> DataFrame:
+        return lines.withColumnRenamed("line", "s").join(broadcast_if_small(ids, ids.count()), "id", "left_semi").dropDuplicates(["id"])
+
+    kind = Sets(content, char_shingles, similar(*SIMILARITY), *SIMILARITY)
+    return components(linked(shared_buckets(lines, _entries), kind)).withColumnRenamed("node", "id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, drop): the places (from 0) of each document's lines that repeat
     a line which stays elsewhere. Documents without such lines have no row."""
-    label = materialize(line_components(docs))
-    seen = docs.select("doc_id", "text").mapInArrow(_occurrences(False), "id long, doc_id long, place int")
+    seen = materialize(docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_occurrences, _SEEN))
+    label = materialize(line_components(seen))
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
-    first = materialize(first.join(label, "id", "left").where("first <> last or component is not null"))
-    keep = first.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    plan = materialize(first.join(keep, "component", "left").select("id", F.coalesce("keep", "first").alias("keep")))
-    hit = seen.join(broadcast_if_small(plan, plan.count()), "id").where("struct(doc_id, place) <> keep")
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("drop"))
+    first = materialize(first.join(broadcast_if_small(label, label.count()), "id", "left").where("first <> last or component is not null"))
+    keep = materialize(first.where("component is not null").groupBy("component").agg(F.min("first").alias("keep")))
+    plan = first.join(broadcast_if_small(keep, keep.count()), "component", "left").select("id", F.coalesce("keep", "first").alias("keep"))
+    plan = materialize(plan)
+    release(label, first, keep)
+    hit = seen.select("id", "doc_id", "place").join(broadcast_if_small(plan, plan.count()), "id").where("struct(doc_id, place) <> keep")
+    drop = materialize(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("drop")))
+    release(seen, plan)
+    return drop
+
+
+def _rewritten(text: bytes, drop: list[int]) -> bytes:
+    gone = set(drop)
+    return b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in gone)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at, names = b.schema.get_field_index("text"), b.schema.names
-        texts, drops = b.column("text").to_pylist(), b.column("__drop").to_pylist()
-        lines, gone, new = [], [], []
-        for t, d in zip(texts, drops, strict=True):
-            parts = t.split("\n") if t is not None else []
-            lines.append(len(parts))
-            gone.append(len(d or ()))
-            if d:
-                out = set(d)
-                t = "\n".join(x for i, x in enumerate(parts) if i not in out)
-            new.append(t)
-        cols = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns) if names[i] != "__drop"]
-        names = [n for n in names if n != "__drop"]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int32()), pa.array(gone, pa.int32())], names=[*names, "n_lines", "n_removed"])
+    for whole in batches:
+        for b in K.slices(whole, "text"):
+            at, names = b.schema.get_field_index("text"), b.schema.names
+            texts = b.column("text")
+            data, offsets = K.buffers(texts)
+            cuts = np.searchsorted(np.flatnonzero(data == 10), offsets)
+            lines = np.where(texts.is_valid().to_numpy(zero_copy_only=False), np.diff(cuts) + 1, 0)
+            drops = b.column("__drop")
+            gone = np.zeros(b.num_rows, np.int32)
+            if drops.null_count < b.num_rows:
+                new = texts.cast(pa.binary()).to_pylist()
+                for i, d in enumerate(drops.to_pylist()):
+                    if d and new[i] is not None:
+                        new[i], gone[i] = _rewritten(new[i], d), len(d)
+                texts = pa.array(new, pa.binary()).cast(pa.string())
+            cols = [texts if i == at else b.column(i) for i in range(b.num_columns) if names[i] != "__drop"]
+            names = [n for n in names if n != "__drop"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int32()), pa.array(gone, pa.int32())], names=[*names, "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines (before)
     and n_removed; columns of these two names that it has are replaced."""
     docs = docs.drop("n_lines", "n_removed", "__drop")
-    drop = materialize(repeated_lines(docs)).withColumnRenamed("doc_id", "__doc")
+    drop = repeated_lines(docs).withColumnRenamed("doc_id", "__doc")
     n, places = drop.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
     small = 48 * n + 4 * places <= BROADCAST_BYTES
     drop = F.broadcast(drop) if small else drop.hint("merge")

@@ -188,7 +188,7 @@ def test_fingerprints(docs, empty, texts):
 
 
 def test_fingerprints_over_several_ranges(docs, texts, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "RANGES", 1)
     whole = {(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in fingerprints.edit_report(docs).collect()}
     monkeypatch.undo()
     assert whole == {(r["doc_id"], r["edited_sha256"], r["near_next"]) for r in fingerprints.edit_report(docs).collect()}
@@ -226,7 +226,7 @@ def test_line_dedup(docs, empty, texts):
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             line = re.sub("[A-Z]+", lambda m: m[0].lower(), line).strip(" \t\r\x0b\x0c")
-            if len(line) >= lines.MIN_CHARS:
+            if line:
                 lines_[line].append((i, k))
     names = sorted(lines_)
     comp = brute_components({i: frozenset(x[k : k + 6] for k in range(max(1, len(x) - 5))) for i, x in enumerate(names)}, 8, 10)
@@ -467,7 +467,7 @@ def test_pipeline(spark):
             assert docs.columns == names and {r["doc_id"] for r in docs.collect()} <= set(had)
         if name == "near_duplicates":
             ids = sorted(had)
-            comp = brute_components(dict(zip(ids, (s for s in sets_of([had[i] for i in ids], 3).values()), strict=True)), 9, 10)
+            comp = brute_components(dict(zip(ids, (s for s in sets_of([had[i] for i in ids], 5).values()), strict=True)), 8, 10)
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(set(comp.values()))
         if name == "decontamination":
             bad = {r["doc_id"] for r in decontaminate.contained(spark.createDataFrame(list(had.items()), "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
