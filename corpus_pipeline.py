@@ -20,14 +20,16 @@ CONFIDENT = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a language: those with letters and a prediction of CONFIDENT or more."""
+    """Keeps documents of a language: those with letters and a prediction of
+    CONFIDENT or more. Null and empty texts go; repeated rows and null ids stay."""
     known = language.predict(docs, language.fit(docs))
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= CONFIDENT)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of near-equal lines stays in the corpus; n_chars
-    follows the text. A document of which nothing is left goes."""
+    follows the text. A document of which nothing is left goes; null and empty
+    texts and rows without an id stay as they are."""
     out = lines.dedup_lines(docs)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -35,16 +37,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram links stays."""
-    return ngrams.one_per_group(docs)
+    """One document of each group stays: links are shingles of five words that
+    agree to 0.8 or more. Documents without words or without an id stay."""
+    return ngrams.one_per_group(docs, ngrams.NEAR_SHINGLE, ngrams.NEAR_NUMERATOR, ngrams.NEAR_DENOMINATOR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of a document with its sequence and place in it; null and
+    empty texts are one piece of the end id, repeated rows are packed each."""
     return packing.pack(docs)
 
 
