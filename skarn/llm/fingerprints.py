@@ -46,7 +46,7 @@ def signatures(texts: pa.Array) -> np.ndarray:
 def set_ids(texts: pa.Array) -> np.ndarray:
     """Digest of each text's set of shingles, 0 without words."""
     h, bounds = K.shingles(*K.words(texts), SHINGLE)
-    return np.array([digest(np.unique(h[x:y])) if y > x else 0 for x, y in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
+    return np.array([digest(s) if len(s) else 0 for s in K.row_sets(h, bounds)], np.int64)
 
 
 def encode(signature: np.ndarray) -> list[str]:

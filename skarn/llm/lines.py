@@ -67,10 +67,18 @@ def line_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = np.searchsorted(row, np.arange(len(offsets) - 1))
     place = np.arange(len(ends)) - first[row] if len(ends) else row
     # trim: the first and the last byte of each line that is no space
-    solid = np.flatnonzero(~K._SEPARATORS[False][data])
-    a, z = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
-    has = np.flatnonzero(a <= z)
-    return low, solid[a[has]], solid[z[has]] + 1, row[has], place[has]
+    space = K._SEPARATORS[False]
+    for _ in range(8):
+        starts = starts + ((starts < ends) & space[data[np.minimum(starts, len(data) - 1)]]) if len(data) else starts
+        ends = ends - ((starts < ends) & space[data[ends - 1]]) if len(data) else ends
+    has = np.flatnonzero(starts < ends)
+    starts, ends, row, place = starts[has], ends[has], row[has], place[has]
+    if (space[data[starts]] | space[data[ends - 1]]).any():  # more white space than that
+        solid = np.flatnonzero(~space[data])
+        a, z = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+        has = np.flatnonzero(a <= z)
+        starts, ends, row, place = solid[a[has]], solid[z[has]] + 1, row[has], place[has]
+    return low, starts, ends, row, place
 
 
 def gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +142,7 @@ def char_shingles(lines: list[bytes]) -> list[np.ndarray]:
     """The ascending set of hashed character shingles of each line."""
     points, bounds = _points(pa.array(lines, pa.binary()))
     h, rows = K.shingles(points.astype(np.uint64), bounds, SHINGLE)
-    return [np.unique(h[x:y]) for x, y in zip(rows[:-1], rows[1:], strict=True)]
+    return K.row_sets(h, rows)
 
 
 def line_components(seen: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def digest(s: np.ndarray) -> int:
 
 def ordered_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     h, bounds = K.shingles(*K.words(column), n)
-    return [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return K.row_sets(h, bounds)
 
 
 def _base(shingle: int):

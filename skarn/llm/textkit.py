@@ -52,12 +52,26 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 0) -> Iterator[pa.Rec
         at = end
 
 
+#: Numbers that are worked on at a time, so that they stay in the cache.
+BLOCK = 1 << 14
+
+
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    out = np.empty(h.shape, np.uint64)
+    flat, source = out.reshape(-1), np.ascontiguousarray(h).reshape(-1)
+    tmp = np.empty(min(BLOCK, flat.size), np.uint64)
+    for at in range(0, flat.size, BLOCK):
+        x, part = flat[at : at + BLOCK], source[at : at + BLOCK]
+        t = tmp[: len(x)]
+        np.right_shift(part, np.uint64(31), out=t)
+        np.bitwise_xor(part, t, out=x)
+        np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
+        np.right_shift(x, np.uint64(27), out=t)
+        np.bitwise_xor(x, t, out=x)
+        np.multiply(x, np.uint64(0x94D049BB133111EB), out=x)
+        np.right_shift(x, np.uint64(31), out=t)
+        np.bitwise_xor(x, t, out=x)
+    return out
 
 
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,9 +151,23 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
         return np.zeros(0, np.uint64), out_bounds
     # every run of n, also those over the end of a row; then the places that count
     run = np.full(len(hashes), n * int(_SIZE) % (1 << 64), np.uint64)
-    for k in range(min(n, len(hashes))):
-        run[: len(hashes) - k] += hashes[k:] * _STEP[k]
-    out = run[np.arange(total) + np.repeat(bounds[:-1] - out_bounds[:-1], made)]
+    tmp = np.empty(min(BLOCK, len(hashes)), np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        x = run[at : at + BLOCK]
+        for k in range(min(n, len(hashes) - at)):
+            part = hashes[at + k : at + k + len(x)]
+            t = np.multiply(part, _STEP[k], out=tmp[: len(part)])
+            x[: len(part)] += t
+    if total == len(hashes):
+        out = run
+    else:
+        inside = np.ones(len(hashes), bool)
+        for k in range(1, n):
+            over = bounds[1:] - k
+            inside[over[(over >= bounds[:-1]) & (counts >= n)]] = False
+        for r in np.flatnonzero((counts > 1) & (counts < n)).tolist():
+            inside[bounds[r] + 1 : bounds[r + 1]] = False
+        out = run[inside]
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         one = counts[short].astype(np.uint64) * _SIZE
@@ -150,6 +178,21 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     return mix(out), out_bounds
 
 
+def row_sets(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes of each row, ascending."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if len(bounds) <= 1 << 16:
+        row = row.astype(np.uint16)  # sorted by radix
+    order = np.argsort(h)
+    order = order[np.argsort(row[order], kind="stable")]
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h = h[new]
+    ends = np.cumsum(np.bincount(row[new], minlength=len(bounds) - 1)).tolist()
+    return [h[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
 def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of ``k`` universal hashes x -> a*x + b mod 2**32, a odd; the
     first ones are the same for any ``k``."""
