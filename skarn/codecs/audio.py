@@ -58,13 +58,16 @@ class _Ima:
         return self.value
 
 
+def _whole_blocks(data: bytes, block: int, head: int) -> list[bytes]:
+    if block < head:
+        raise FormatError(f"blocks of {block} bytes cannot hold their heads of {head}")
+    return [data[at : at + block] for at in range(0, len(data) - block + 1, block)]
+
+
 def ima(data: bytes, channels: int, block: int) -> np.ndarray:
-    """int16 [samples, channels]."""
+    """int16 [samples, channels] of the whole blocks; a short last one is left out."""
     out = []
-    for at in range(0, len(data), block):
-        part = data[at : at + block]
-        if len(part) < 4 * channels:
-            break
+    for part in _whole_blocks(data, block, 4 * channels):
         state, lanes = [], []
         for k in range(channels):
             predictor, index = struct.unpack_from("<hB", part, 4 * k)
@@ -80,12 +83,12 @@ def ima(data: bytes, channels: int, block: int) -> np.ndarray:
 
 
 def microsoft(data: bytes, channels: int, block: int, pairs: tuple = MS_PAIRS) -> np.ndarray:
+    """The same; a block whose predictor is not in the table is left out."""
     out = []
-    for at in range(0, len(data), block):
-        part = data[at : at + block]
-        if len(part) < 7 * channels:
-            break
+    for part in _whole_blocks(data, block, 7 * channels):
         which = part[:channels]
+        if max(which) >= len(pairs):
+            continue
         delta, first, second = (list(struct.unpack_from(f"<{channels}h", part, channels + 2 * channels * k)) for k in range(3))
         lanes = [[second[k], first[k]] for k in range(channels)]
         turn = 0
@@ -93,7 +96,7 @@ def microsoft(data: bytes, channels: int, block: int, pairs: tuple = MS_PAIRS) -
             for nibble in (byte >> 4, byte & 15):
                 k = turn % channels
                 turn += 1
-                a, b = pairs[min(which[k], len(pairs) - 1)]
+                a, b = pairs[which[k]]
                 guess = (lanes[k][-1] * a + lanes[k][-2] * b) >> 8
                 lanes[k].append(_clamp(guess + (nibble - 16 if nibble & 8 else nibble) * delta[k]))
                 delta[k] = max(16, delta[k] * MS_ADAPT[nibble] >> 8)

@@ -79,11 +79,16 @@ def cells(html: Column, tag: str) -> Column:
 
 
 def stat_cell(c: Column) -> Column:
-    """'value [- value] label [(pct%)]' as a struct of label, low and high."""
-    pattern = r"^\s*([0-9,]+)(?:\s*-\s*([0-9,]+))?\s*(.*?)\s*(?:\([^)]*%\))?\s*$"
-    part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
-    low = number(part(1))
-    return F.struct(part(3).alias("label"), low.alias("low"), F.coalesce(number(part(2)), low).alias("high"))
+    """A cell's label (from its first letter on, without a share in brackets at
+    the end), and the one or two numbers before it, as a struct; null numbers if
+    there are none."""
+    at = F.regexp_instr(c, F.lit(r"\p{L}"))
+    has = at > 0
+    values = F.transform(F.split(F.when(has, F.left(c, at - 1)).otherwise(c), "-"), number)
+    label = F.when(has, F.substr(c, at))
+    share = F.length(F.substring_index(label, "(", -1)) + 1
+    label = F.trim(F.when(F.endswith(F.rtrim(label), F.lit("%)")), F.left(label, F.length(label) - share)).otherwise(label))
+    return F.struct(label.alias("label"), values[0].alias("low"), F.element_at(values, -1).alias("high"))
 
 
 def hex_color(c: Column) -> Column:

@@ -63,13 +63,12 @@ def unique_or_none(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def suffix_join(df: DataFrame, text: str, wanted: DataFrame, suffix: str) -> DataFrame:
-    """Rows whose ``text`` ends with a wanted suffix. Each text is expanded to
-    its suffixes of the lengths that occur, so the join is on equality: the plan
-    is a hash join of rows x lengths and not a nested loop over rows x suffixes."""
-    lengths = [r[0] for r in wanted.select(F.length(suffix)).distinct().limit(65_536).collect() if r[0]]
-    each = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-    cut = F.transform(F.filter(each, lambda n: n <= F.length(text)), lambda n: F.substring(F.col(text), -n, n))
-    return df.withColumn(suffix, F.explode(cut)).join(wanted, suffix)
+    """Rows whose ``text`` ends with a wanted suffix, the empty one included. Each
+    text is expanded to its suffixes of the lengths that occur, which come from a
+    join, so the plan is two equi-joins and not a nested loop over rows x suffixes."""
+    lengths = wanted.select(F.length(suffix).alias("__n")).where("__n is not null").distinct()
+    each = df.withColumn("__n", F.explode(F.sequence(F.lit(0), F.length(text)))).join(lengths, "__n")
+    return each.withColumn(suffix, F.right(F.col(text), F.col("__n"))).drop("__n").join(wanted, suffix)
 
 
 def nearest_within(df: DataFrame, points: DataFrame, xy: tuple[str, str], pxy: tuple[str, str], radius: float, row: str, ordinal: str) -> DataFrame:

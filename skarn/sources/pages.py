@@ -1,6 +1,7 @@
 """Statistics pages: one stat block out of a page, by its element id.
 
-A block is cut out by balancing its div, so an empty block never reads its
+The page is read as a stream of markup events. A block is open from the div with
+its id until the depth of divs falls back, so an empty block never reads its
 sibling's numbers. A page without the block is classified; one that is neither
 known to be missing nor to lack data is an error, so that a new layout is not
 taken for unknown values.
@@ -8,70 +9,75 @@ taken for unknown values.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entities that are resolved by name (fixed values).
-ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
-_ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);")
-_CELL = re.compile(r"<td\b[^>]*>(.*?)</td>", re.S | re.I)
-_ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.S | re.I)
-_STAT = re.compile(r"([\d,]+(?:\.\d+)?)(?:\s*-\s*([\d,]+(?:\.\d+)?))?\s+(.+?)\s*(?:\(\s*[-+]?[\d.,]+%\s*\))?")
 
-
-def _resolved(m: re.Match) -> str:
-    name = m[1]
-    if name[0] != "#":
-        return ENTITIES.get(name, m[0])
-    try:
-        return chr(int(name[2:], 16) if name[1] in "xX" else int(name[1:]))
-    except (ValueError, OverflowError):
-        return m[0]
-
-
-def text(html: str) -> str:
-    return " ".join(_ENTITY.sub(_resolved, re.sub(r"<[^>]*>", " ", html)).split())
-
-
-def element(html: str, id_: str) -> str | None:
-    """The div with this id, to its own end."""
-    start = html.rfind("<div", 0, at) if (at := html.find(f'id="{id_}"')) >= 0 else -1
-    if start < 0:
-        return None
-    depth = 0
-    for m in re.compile(r"<(/?)div\b[^>]*?(/?)>", re.I).finditer(html, start):
-        depth += -1 if m[1] else not m[2]
-        if depth == 0:
-            return html[start : m.end()]
-    return None
-
-
-def number(s: str | None) -> float | None:
+class Block(HTMLParser):
+    """The texts of the table cells in the first div that has the id; ``found``
+    tells whether the page has one."""
+
+    def __init__(self, id_: str):
+        super().__init__(convert_charrefs=True)
+        self.id, self.found, self.depth = id_, False, 0
+        self.cells: list[str] = []
+        self.rows, self.part = 0, None  # rows that are open; pieces of the open cell
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "div" and (self.depth or not self.found and ("id", self.id) in attrs):
+            self.found, self.depth = True, self.depth + 1
+        elif self.depth and tag == "tr":
+            self.rows += 1
+        elif self.rows and tag == "td":
+            self.part = []
+        elif self.part is not None:
+            self.part.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.part is not None:
+            if tag in ("td", "tr"):
+                self.cells.append(" ".join("".join(self.part).split()))
+                self.part = None
+            else:
+                self.part.append(" ")
+        if self.depth:
+            self.depth -= tag == "div"
+            self.rows = 0 if not self.depth else max(0, self.rows - (tag == "tr"))
+
+    def handle_data(self, data: str) -> None:
+        if self.part is not None:
+            self.part.append(data)
+
+
+def number(s: str) -> float | None:
     try:
-        return None if s is None else float(s.replace(",", ""))
+        return float(s.replace(",", ""))
     except ValueError:
         return None
 
 
 def stat(cell: str) -> tuple[str, float, float] | None:
-    """(label, low, high) of 'value [- value] label [(pct%)]'."""
-    if not (m := _STAT.fullmatch(text(cell))):
+    """(label, low, high) of a cell: a value or two with a dash between, a label
+    from its first letter on, and perhaps a share in brackets, which is left out."""
+    begin = next((i for i, c in enumerate(cell) if c.isalpha()), 0)
+    values, label = [number(v) for v in cell[:begin].split("-")], cell[begin:]
+    if label.endswith("%)"):
+        label = label[: label.rindex("(")] if "(" in label else label
+    if not begin or not cell[begin - 1].isspace() or len(values) > 2 or None in values:
         return None
-    low = number(m[1])
-    return m[3].strip(), low, low if m[2] is None else number(m[2])
+    return label.strip(), values[0], values[-1]
 
 
 def block(html: str, id_: str) -> dict[str, tuple[float, float]] | None:
     """label (lower) -> (low, high) of the stat cells of a block; null without it."""
-    part = element(html, id_)
-    if part is None:
-        return None
-    found = (stat(c) for row in _ROW.findall(part) for c in _CELL.findall(row))
-    return {label.lower(): (low, high) for label, low, high in filter(None, found)}
+    reader = Block(id_)
+    reader.feed(html)
+    reader.close()
+    return {s[0].lower(): s[1:] for s in map(stat, reader.cells) if s} if reader.found else None
 
 
 def parse(pages: DataFrame, html: str, id_: str, fields: Sequence[str], missing: str, no_data: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.text import hex_color
@@ -15,15 +17,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
 
 
+def _only(c: Column, characters: str) -> Column:
+    """Whether there is nothing but these characters, and one of them at least."""
+    return (c != "") & (F.translate(c, characters, "") == "")
+
+
 def numbered_names(rows: DataFrame) -> DataFrame:
     """(id, name) of lines '<id><tab>... // name' whose comment is an identifier
     with an underscore or a capital letter; the last line of an id wins."""
-    pattern = r"^\s*(\d+)\t.*?//\s*(.+?)\s*$"
-    out = rows.where(F.col("line").rlike(pattern)).select(
-        F.regexp_extract("line", pattern, 1).cast("long").alias("id"), F.regexp_extract("line", pattern, 2).alias("name"), "pos"
-    )
-    out = out.where(F.col("name").rlike("^[A-Za-z0-9][A-Za-z0-9_]*$") & F.col("name").rlike("[_A-Z]"))
-    return dedupe.keep_last(out, "id", "pos").drop("pos")
+    column = F.split("line", "\t", 2)
+    out = rows.select("pos", F.trim(column[0]).alias("id"), F.get(F.split(F.get(column, 1), "//", 2), 1).alias("name"))
+    out = out.withColumn("name", F.btrim("name", F.lit(string.whitespace)))
+    mixed = F.contains("name", F.lit("_")) | (F.col("name") != F.lower("name"))
+    out = out.where(_only(F.col("id"), string.digits) & _only(F.col("name"), string.ascii_letters + string.digits + "_") & ~F.startswith("name", F.lit("_")) & mixed)
+    return dedupe.keep_last(out.withColumn("id", F.col("id").cast("long")), "id", "pos").select("id", "name")
 
 
 def fog(rows: DataFrame) -> DataFrame:
@@ -45,13 +52,14 @@ def fog(rows: DataFrame) -> DataFrame:
 
 
 def tracks(rows: DataFrame) -> DataFrame:
-    """(map, file) of lines 'map.rsw#bgm\\\\file.mp3#'; the last line of a map wins."""
-    pattern = r"(?i)^([A-Za-z0-9_@-]+)\.rsw#\s*bgm[\\/]+([^#]+?\.mp3)\s*#"
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    hit = rows.withColumn("line", line).where(F.col("line").rlike(pattern))
-    file = F.regexp_replace(F.lower(F.regexp_extract("line", pattern, 2)), r"^.*[\\/]", "")
-    out = hit.select(F.lower(F.regexp_extract("line", pattern, 1)).alias("map"), file.alias("file"), "pos")
-    return dedupe.keep_last(out, "map", "pos").drop("pos")
+    """(map, file) of lines of two fields that '#' ends: a map's file and a music
+    file below the bgm folder; the last line of a map wins."""
+    field = F.split(F.lower("line"), "#")
+    folder = F.split(F.btrim(F.get(field, 1), F.lit(string.whitespace)), r"[/\\\\]+")
+    out = rows.where(F.size(field) > 2).select("pos", F.btrim(field[0], F.lit(string.whitespace)).alias("map"), F.get(folder, 0).alias("top"), F.element_at(folder, -1).alias("file"))
+    out = out.where(F.endswith("map", F.lit(".rsw")) & (F.col("top") == "bgm") & F.endswith("file", F.lit(".mp3")) & (F.length("file") > 4))
+    out = out.withColumn("map", F.left("map", F.length("map") - 4)).where(_only(F.col("map"), string.ascii_lowercase + string.digits + "_@-"))
+    return dedupe.keep_last(out, "map", "pos").select("map", "file")
 
 
 def message_names(rows: DataFrame, prefix: str, preferred: int, other: int) -> DataFrame:
