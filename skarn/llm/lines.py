@@ -91,14 +91,30 @@ def gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 _SEEN = "id long, doc_id long, place int, line binary"
 
 
+def first_seen(ids: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+    """Which ids are neither earlier in ``ids`` nor in ``held``, ascending arrays
+    each at least twice as long as the next, to which the new ones are added."""
+    new = np.zeros(len(ids), bool)
+    new[np.unique(ids, return_index=True)[1]] = True
+    for known in held:
+        new &= known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] != ids
+    mine = np.sort(ids[new])
+    while len(mine) and held and len(held[-1]) < 2 * len(mine):
+        mine = np.sort(np.concatenate([held.pop(), mine]), kind="stable")
+    if len(mine):
+        held.append(mine)
+    return new
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with its document and place; its bytes once in a slice."""
+    """Every line with its document and place; its bytes once in a task, which
+    holds 8 bytes for each of its distinct lines."""
+    held: list[np.ndarray] = []
     for whole in batches:
         for b in K.slices(whole, "text"):
             low, starts, ends, row, place = line_spans(b.column("text"))
             ids = K.span_hashes(low, starts, ends)
-            first = np.zeros(len(ids), bool)
-            first[np.unique(ids, return_index=True)[1]] = True
+            first = first_seen(ids, held)
             flat, bounds = gathered(low, starts, np.where(first, ends, starts))
             lines = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [pa.py_buffer(np.packbits(first, bitorder="little")), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
             doc = b.column("doc_id").cast(pa.int64()).take(pa.array(row))
