@@ -183,9 +183,14 @@ def row_sets(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     if len(bounds) <= 1 << 16:
         row = row.astype(np.uint16)  # sorted by radix
-    order = np.argsort(h)
-    order = order[np.argsort(row[order], kind="stable")]
-    h, row = h[order], row[order]
+    if len(h) < 32 * len(bounds):
+        order = np.argsort(h)
+        order = order[np.argsort(row[order], kind="stable")]
+        h, row = h[order], row[order]
+    else:  # long rows are sorted faster one by one, in place
+        h = h.copy()
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            h[x:y].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h = h[new]

@@ -137,3 +137,31 @@ def test_crossover_saves_sequences_where_best_fit_does_not():
     bins, free = [], []
     packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, bins, free, 1024)
     assert len(packing.evolve(sizes, None, 1024, 1)) < len(bins)
+
+
+def test_keys_of_a_part_survive_their_bytes():
+    part = np.uint64(7) << np.uint64(8 * common.KEY_BYTES)
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 20_000, dtype=np.uint64)) + part
+    for some in (keys, keys[:1], keys[:0], np.repeat(keys[:3], 4)):
+        assert (common._keys(7, common._short(some)) == some).all()
+
+
+def test_ids_are_new_once():
+    rng, held, seen = np.random.default_rng(2), [], set()
+    for _ in range(50):
+        ids = rng.integers(0, 3000, 200, dtype=np.uint64)
+        new = lines.first_seen(ids, held)
+        for x, is_new in zip(ids.tolist(), new.tolist(), strict=True):
+            assert is_new == (x not in seen)
+            seen.add(x)
+    assert lines.first_seen(ids[:0], held).tolist() == [] and len(held) < 10
+
+
+@pytest.mark.parametrize("size", [3, 200])
+def test_sets_of_rows_are_those_of_sorting_each_row(size):
+    rng = np.random.default_rng(size)
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 2 * size, 300))])
+    h = rng.integers(0, 1 << 63, bounds[-1], dtype=np.uint64)
+    h[::5] = h[0]
+    got = textkit.row_sets(h, bounds)
+    assert len(got) == 300 and all((g == np.unique(h[x:y])).all() for g, x, y in zip(got, bounds[:-1], bounds[1:], strict=True))
