@@ -106,3 +106,23 @@ def positional_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
     placed = df.withColumn("__rn", rn - 1).withColumn("grp", F.floor(F.col("__rn") / size).cast("int"))
     full = F.count("*").over(Window.partitionBy(*group, "grp"))
     return placed.withColumn("place", (F.col("__rn") % size).cast("int")).withColumn("__n", full).where(F.col("__n") == size).drop("__n", "__rn")
+
+
+def names_of(df: DataFrame, id_: str, name: str, out: str) -> DataFrame:
+    """The reverse of a table of constants: (id, its names in order). Several
+    names may stand for one id; rows without an id or a name count for nothing."""
+    known = df.where(F.col(id_).isNotNull() & F.col(name).isNotNull())
+    return known.groupBy(id_).agg(F.array_sort(F.collect_set(name)).alias(out))
+
+
+def named_or_real(df: DataFrame, id_: str, names: DataFrame, real: DataFrame, out: str) -> DataFrame:
+    """``df`` with the name of its id, else of the real id that stands behind it,
+    else ``_`` and that id. ``names`` is (id, name) and ``real`` (id, real_id),
+    one row for each id; an empty name is none."""
+    some = names.where("name <> ''")
+    own = some.select(F.col("id").alias(id_), F.col("name").alias("__own"))
+    other = real.select(F.col("id").alias(id_), F.col("real_id").alias("__real"))
+    step = lookup(lookup(df, own, id_), other, id_).withColumn("__real", F.coalesce("__real", id_))
+    wide = lookup(step, some.select(F.col("id").alias("__real"), F.col("name").alias("__other")), "__real")
+    name = F.coalesce("__own", "__other", F.concat(F.lit("_"), F.col("__real").cast("string")))
+    return wide.withColumn(out, name).drop("__own", "__other", "__real")

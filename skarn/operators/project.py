@@ -49,3 +49,25 @@ def expand_template(template: Column, low: Column, high: Column) -> Column:
     template alone unless both are known."""
     many = F.transform(F.sequence(low, high), lambda i: F.replace(template, F.lit("%d"), i.cast("string")))
     return F.when(low.isNotNull() & high.isNotNull(), many).otherwise(F.array(template))
+
+
+def distinct_elements(arrays: Column) -> Column:
+    """The distinct elements of an array of arrays, in order of appearance; null
+    arrays hold none."""
+    return F.array_distinct(F.flatten(F.filter(arrays, lambda a: a.isNotNull())))
+
+
+def draws_nothing(alphas: Column) -> Column:
+    """Whether there are layers and every one of them is fully transparent."""
+    return (F.size(alphas) > 0) & ~any_element(alphas, lambda a: a != 0)
+
+
+def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose ``column`` holds the pattern anywhere, in any case."""
+    return df.where(F.col(column).rlike(f"(?i){pattern}"))
+
+
+def code_unit_key(text: Column) -> Column:
+    """Orders texts by UTF-16 code units, so that supplementary characters stand
+    before U+E000 to U+FFFF."""
+    return F.encode(text, "UTF-16BE")

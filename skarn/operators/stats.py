@@ -85,3 +85,19 @@ def swatch(entries: DataFrame, reference: int = 0, distance: int = 48, chroma_fl
     mean = ranked.where((F.col("k") >= low) & (F.col("k") < high)).groupBy("pal").agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"])
     pals = entries.select("pal").distinct()
     return pals.join(mean, "pal", "left")
+
+
+def highest(df: DataFrame, group: Sequence[str], index: str, out: str) -> DataFrame:
+    """The highest index that a group has, such as that of its palettes or of the
+    frames of its layers."""
+    return df.groupBy(*group).agg(F.max(index).alias(out))
+
+
+def named_or_largest(df: DataFrame, scope: str, table: str, ordinal: str, wanted: str, skip: str) -> DataFrame:
+    """(scope, table, n, fallback): the table called ``wanted`` of each scope, or
+    else its largest one but ``skip``, of equals the first by ``ordinal``. Rows of
+    ``df`` are entries; ``fallback`` says that the name was not found."""
+    sizes = df.groupBy(scope, table).agg(F.count("*").alias("n"), F.min(ordinal).alias("__at"))
+    sizes = sizes.withColumn("fallback", F.col(table) != wanted).where(F.col(table).isNotNull() & (~F.col("fallback") | (F.col(table) != skip)))
+    best = keep_ranked(sizes, scope, [F.col("fallback").asc(), F.col("n").desc(), F.col("__at").asc()])
+    return best.select(scope, table, "n", "fallback")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import text as T
@@ -367,3 +367,59 @@ def todo_minus_done(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     done = read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"))
     return c.union(s).distinct().join(done, "id", "left_anti")
+
+
+@query("""
+    SELECT p_brand, list_sort(list(DISTINCT p_name)) AS names FROM part WHERE p_brand IS NOT NULL AND p_name IS NOT NULL GROUP BY 1""")
+def names_per_id(spark, sf_dir):
+    return joins.names_of(read(spark, sf_dir, "part"), "p_brand", "p_name", "names")
+
+
+@query("""
+    SELECT c.c_custkey, coalesce(s.s_name, p.s_name, '_' || coalesce(o.real_id, c.c_custkey)) AS name FROM customer c
+    LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey
+    LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS real_id FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey
+    LEFT JOIN supplier p ON p.s_suppkey = coalesce(o.real_id, c.c_custkey)""")
+def named_or_real(spark, sf_dir):
+    names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    real = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("real_id"))
+    return joins.named_or_real(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", names, real, "name")
+
+
+@query("SELECT p_brand, p_type, max(p_size) AS top FROM part GROUP BY 1, 2")
+def highest_index(spark, sf_dir):
+    return stats.highest(read(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_size", "top")
+
+
+@query("""
+    SELECT user_id, event_type, n, fallback FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fallback, n DESC, pos) AS rn FROM (
+            SELECT user_id, event_type, count(*) AS n, min(event_id) AS pos, event_type <> 'purchase' AS fallback FROM events
+            WHERE event_type IS NOT NULL GROUP BY 1, 2) WHERE NOT fallback OR event_type <> 'click') WHERE rn = 1""")
+def named_or_largest(spark, sf_dir):
+    return stats.named_or_largest(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id", "purchase", "click")
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'eco[a-z]+y$|^small', 'i')")
+def matching_names(spark, sf_dir):
+    return project.matching(read(spark, sf_dir, "part"), "p_type", "(?:eco[a-z]+y$|^small)").select("p_partkey")
+
+
+@query("""
+    SELECT l_orderkey, count(*) > 0 AND bool_and(round(l_discount * 100) = 0) AS nothing FROM lineitem GROUP BY 1""")
+def draws_nothing(spark, sf_dir):
+    layers = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.round(F.col("l_discount") * 100)).alias("alphas"))
+    return layers.select("l_orderkey", project.draws_nothing(F.col("alphas")).alias("nothing"))
+
+
+@query("""
+    SELECT p_partkey, [p_brand, p_type] || CASE WHEN p_size > 25 THEN [p_name] ELSE [] END AS names FROM part""")
+def flat_distinct(spark, sf_dir):
+    more = F.when(F.col("p_size") > 25, F.array("p_brand", "p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", project.distinct_elements(F.array(F.array("p_brand", "p_type"), more)).alias("names"))
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey)::INT AS place FROM part")
+def code_unit_order(spark, sf_dir):
+    over = Window.partitionBy("p_brand").orderBy(project.code_unit_key(F.col("p_name")), "p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", F.row_number().over(over).alias("place"))

@@ -120,3 +120,30 @@ def test_charsets(spark):
     assert charset.reinterpret(korean.encode("cp949").decode("latin-1")) == korean
     df = spark.createDataFrame([(bytearray(korean.encode("cp949")),), (None,)], "b binary")
     assert [r[0] for r in df.select(charset.client_text("b")).collect()] == [korean, None]
+
+
+def test_names_come_from_the_real_id_behind_an_id(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "id int")
+    names = spark.createDataFrame([(1, "sword"), (2, ""), (7, "bow")], "id int, name string")
+    real = spark.createDataFrame([(1, 7), (2, 7), (3, 9)], "id int, real_id int")
+    assert rows(joins.named_or_real(df, "id", names, real, "n")) == sorted([(1, "sword"), (2, "bow"), (3, "_9"), (4, "_4"), (None, None)], key=repr)
+    twice = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (None, "c"), (2, None)], "id int, name string")
+    assert rows(joins.names_of(twice, "id", "name", "names")) == [(1, ["a", "b"])]
+
+
+def test_largest_table_stands_in_for_a_missing_one(spark):
+    rows_of = lambda scope, name, n, at: [(scope, name, at + i) for i in range(n)]
+    data = rows_of("a", "T", 1, 50) + rows_of("a", "big", 4, 0) + rows_of("b", "x", 2, 9) + rows_of("b", "y", 2, 3) + rows_of("b", "skip", 9, 20) + [("c", "skip", 0)]
+    df = spark.createDataFrame(data, "scope string, name string, at int")
+    assert rows(stats.named_or_largest(df, "scope", "name", "at", "T", "skip")) == [("a", "T", 1, False), ("b", "y", 2, True)]
+    assert rows(stats.highest(df, ["scope"], "at", "top")) == [("a", 50), ("b", 28), ("c", 0)]
+
+
+def test_layers_elements_and_code_units(spark):
+    df = spark.createDataFrame([(1, [0, 0]), (2, [0, 5]), (3, []), (4, None)], "id int, a array<int>")
+    assert [bool(r[0]) for r in df.orderBy("id").select(project.draws_nothing(F.col("a"))).collect()] == [True, False, False, False]
+    nested = spark.createDataFrame([([["b", "a"], None, ["a", "c"]],)], "x array<array<string>>")
+    assert nested.select(project.distinct_elements(F.col("x"))).first()[0] == ["b", "a", "c"]
+    names = spark.createDataFrame([("\ufb01",), ("\U0001f600",), ("Ab",)], "n string")
+    assert [r[0] for r in names.orderBy(project.code_unit_key(F.col("n"))).collect()] == ["Ab", "\U0001f600", "\ufb01"]
+    assert rows(project.matching(names, "n", "^ab$")) == [("Ab",)]
