@@ -62,13 +62,18 @@ def unique_or_none(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value), F.count("*").alias("__n")).where("__n = 1").drop("__n")
 
 
-def suffix_join(df: DataFrame, text: str, wanted: DataFrame, suffix: str) -> DataFrame:
+def suffix_join(df: DataFrame, text: str, wanted: DataFrame, suffix: str, rows: int | None = None) -> DataFrame:
     """Rows whose ``text`` ends with a wanted suffix, the empty one included. Each
     text is expanded to its suffixes of the lengths that occur, which come from a
-    join, so the plan is two equi-joins and not a nested loop over rows x suffixes."""
+    join, so the plan is two equi-joins and not a nested loop over rows x suffixes.
+    The expanded texts are many times as large as Spark's estimate of them, so
+    they are never the side that is broadcast: the lengths are (n different ones
+    take n * n / 2 characters of suffixes), and ``wanted`` is if its known size
+    ``rows`` is at most BROADCAST_ROWS; else both sides are shuffled."""
     lengths = wanted.select(F.length(suffix).alias("__n")).where("__n is not null").distinct()
-    each = df.withColumn("__n", F.explode(F.sequence(F.lit(0), F.length(text)))).join(lengths, "__n")
-    return each.withColumn(suffix, F.right(F.col(text), F.col("__n"))).drop("__n").join(wanted, suffix)
+    each = df.withColumn("__n", F.explode(F.sequence(F.lit(0), F.length(text)))).join(F.broadcast(lengths), "__n")
+    side = F.broadcast(wanted) if rows is not None and rows <= BROADCAST_ROWS else wanted.hint("merge")
+    return each.withColumn(suffix, F.right(F.col(text), F.col("__n"))).drop("__n").join(side, suffix)
 
 
 def nearest_within(df: DataFrame, points: DataFrame, xy: tuple[str, str], pxy: tuple[str, str], radius: float, row: str, ordinal: str) -> DataFrame:

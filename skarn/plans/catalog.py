@@ -165,7 +165,7 @@ SUFFIXES = ("ring", "widget", "dget", "zzz")
 def suffix_match(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     wanted = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
-    return joins.suffix_join(p, "p_name", wanted, "suffix").select("p_partkey", "suffix")
+    return joins.suffix_join(p, "p_name", wanted, "suffix", len(SUFFIXES)).select("p_partkey", "suffix")
 
 
 @query("""

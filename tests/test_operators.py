@@ -29,6 +29,19 @@ def test_suffixes_need_not_begin_at_a_part(spark):
     assert joins.suffix_join(df, "path", wanted.limit(0), "w").count() == 0
 
 
+def test_suffix_join_never_broadcasts_the_expanded_texts(spark, tmp_path):
+    spark.createDataFrame([(i, f"{i % 7}icon.bmp") for i in range(100)], "id int, path string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")  # its size is known and small, that of ``wanted`` is not
+    wanted = spark.createDataFrame([("con.bmp",), ("3icon.bmp",), ("",), ("zzz",)], "w string")
+    for known in ({}, {"rows": 4}):
+        got = joins.suffix_join(df, "path", wanted, "w", **known)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        joined = [x for x in plan.splitlines() if "HashJoin" in x]
+        assert len(joined) == 1 + len(known) and all("BuildRight" in x for x in joined), plan
+        assert got.where("w = 'con.bmp'").count() == 100 and got.where("w = ''").count() == 100
+        assert got.where("w = '3icon.bmp'").count() == sum(i % 7 == 3 for i in range(100))
+
+
 def test_nearest_is_first_of_equals_and_within_radius(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "r int, x double, y double")
     pts = spark.createDataFrame([(7, 3.0, 0.0), (5, 0.0, 3.0), (9, 106.0, 0.0)], "p int, px double, py double")
