@@ -9,11 +9,14 @@ article or main element they decide: repeated stretches of its other blocks go,
 and unique runs stay. Text below an article stays even where it is repeated,
 as a quoted passage is still the article's.
 
-A host of more than CHUNK pages is dealt by hash into chunks of about that many,
-each with a suffix array of its own, so a large host is no large task; what
-repeats throughout a host repeats within every chunk. Pages of equal token
-streams count as one page, and a page all of whose open blocks are repeated is
-taken for a copy and keeps them.
+A host of more than CHUNK characters is dealt by hash into chunks of about that
+many, each with a suffix array of its own, so a large host is no large task. The
+arrays of a host are then merged: the suffixes that stand on one page of their
+chunk are dealt by ranges of the hash of their first RUN tokens, a range of all
+chunks is sorted in one task, and each chunk is told which of its suffixes stand
+on pages of others, too. So the result does not depend on how a host is dealt.
+Pages of equal token streams count as one page, and a page all of whose open
+blocks are repeated is taken for a copy and keeps them.
 
 Null html is empty text. Null urls share a host of their own. Repeated rows give
 repeated rows.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,8 @@ from skarn.llm import textkit as K
 from skarn.llm.common import broadcast_if_small, materialize
 
 RUN = 8
-CHUNK = 100
+#: Characters of html of a host that one task sorts.
+CHUNK = 16 << 20
 #: Share of a block's tokens that must be repeated for it to lose them.
 COVERED = 0.5
 
@@ -133,15 +138,16 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
     return texts, kinds
 
 
-def repeated(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens of the concatenated streams stand in a substring of ``run``
-    tokens or more that is on two distinct pages or more. The suffixes are
-    sorted to that depth by prefix doubling; neighbours of one rank share it."""
+def suffixes(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, where its groups begin, page of each suffix, which groups
+    stand on two distinct pages or more) of the suffixes of ``run`` tokens or
+    more on their page. They are sorted to that depth by prefix doubling; a group
+    are neighbours of one rank."""
     n = len(tokens)
-    covered = np.zeros(n + 1, np.int64)
-    if n < run:
-        return covered[:n] > 0
     page = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if n < run:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none > 0
     rank, width = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while width < run:
         step = min(width, run - width)
@@ -151,18 +157,40 @@ def repeated(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN) -> np.ndarr
         width += step
     whole = np.flatnonzero(np.arange(n) + run <= bounds[1:][page])  # suffixes with so many tokens on their page
     suffix_array = whole[np.argsort(rank[whole], kind="stable")]
-    edge = np.flatnonzero(np.concatenate([[True], rank[suffix_array][1:] != rank[suffix_array][:-1]]))
     if not len(suffix_array):
-        return covered[:n] > 0
-    low = np.minimum.reduceat(page[suffix_array], edge)
-    high = np.maximum.reduceat(page[suffix_array], edge)
-    shared = np.repeat(low != high, np.diff(np.concatenate([edge, [len(suffix_array)]])))
-    at = suffix_array[shared]
+        return suffix_array, suffix_array, suffix_array, suffix_array > 0
+    edge = np.flatnonzero(np.concatenate([[True], rank[suffix_array][1:] != rank[suffix_array][:-1]]))
+    own = page[suffix_array]
+    return suffix_array, edge, own, np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)
+
+
+def _covered(at: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of ``n`` tokens the runs that begin at ``at`` cover."""
+    covered = np.zeros(n + 1, np.int64)
     np.add.at(covered, at, 1)
     np.add.at(covered, np.minimum(at + run, n), -1)
     return np.cumsum(covered)[:n] > 0
 
 
+def repeated(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN, also: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens of the concatenated streams stand in a substring of ``run``
+    tokens or more that is on two distinct pages or more, or whose key is one of
+    ``also``."""
+    suffix_array, edge, _, shared = suffixes(tokens, bounds, run)
+    if also is not None and len(also):
+        shared = shared | np.isin(run_keys(tokens, bounds, suffix_array[edge], run), also)
+    return _covered(suffix_array[np.repeat(shared, np.diff(np.append(edge, len(suffix_array))))], len(tokens), run)
+
+
+def run_keys(tokens: np.ndarray, bounds: np.ndarray, at: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Hashes of the ``run`` tokens from each place on, all on one page."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    h, begin = K.shingles(tokens, bounds, run)
+    page = np.searchsorted(bounds, at, "right") - 1
+    return h[begin[page] + at - bounds[page]]
+
+
 def unique_text(text: str, hit: np.ndarray) -> str:
     """A block without its repeated stretches, if these are COVERED of it or more."""
     if hit.mean() < COVERED:
@@ -170,13 +198,18 @@ def unique_text(text: str, hit: np.ndarray) -> str:
     return " ".join(w for w, h in zip(text.split(" "), hit, strict=True) if not h)
 
 
-def _main_text(pages: list[tuple[list[str], bytes]]) -> list[tuple[str, int, int]]:
-    """(text, tokens, repeated tokens) of each page of a chunk of a host."""
+def _streams(pages: list[tuple[list[str], bytes]]) -> tuple[list[str], dict[str, int], np.ndarray, np.ndarray]:
+    """(token stream of each page, places of the distinct ones, their tokens, bounds)."""
     streams = [" ".join(texts) for texts, _ in pages]
-    distinct = {s: None for s in streams}
-    place = {s: i for i, s in enumerate(distinct)}
-    w, bounds = K.words(pa.array(list(distinct), pa.large_string()))
-    hit = repeated(w, bounds)
+    place = {s: i for i, s in enumerate(dict.fromkeys(streams))}
+    return streams, place, *K.words(pa.array(list(place), pa.large_string()))
+
+
+def _main_text(pages: list[tuple[list[str], bytes]], also: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """(text, tokens, repeated tokens) of each page of a chunk of a host; ``also``
+    are the keys of runs that stand in other chunks, too."""
+    streams, place, w, bounds = _streams(pages)
+    hit = repeated(w, bounds, also=also)
     out = []
     for (texts, kinds), stream in zip(pages, streams, strict=True):
         mine = hit[bounds[place[stream]] : bounds[place[stream] + 1]]
@@ -203,53 +236,165 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.column("url").cast(pa.string()),
                 b.column("host").cast(pa.string()),
                 b.column("salt").cast(pa.int64()),
+                b.column("chunks").cast(pa.int64()),
                 # words are parted by plain spaces only; other white space was turned into these
-                pa.array(["\n".join(t) for t, _ in found], pa.string()),
+                pa.array([zlib.compress("\n".join(t).encode(errors="replace"), 1) for t, _ in found], pa.binary()),
                 pa.array([bytes(k) for _, k in found], pa.binary()),
             ],
-            names=["page_id", "url", "host", "salt", "blocks", "kinds"],
+            names=[x.split()[0] for x in _CHUNKED.split(", ")],
         )
 
 
+_CHUNKED = "page_id long, url string, host string, salt long, chunks long, blocks binary, kinds binary"
 _OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
 
 
+def _rows(columns: pa.RecordBatch | pa.Table) -> list[tuple]:
+    """(page_id, url, blocks, kinds) of each page."""
+    texts = [zlib.decompress(x).decode() for x in columns.column("blocks").to_pylist()]
+    return list(zip(columns.column("page_id").to_pylist(), columns.column("url").to_pylist(), [t.split("\n") if t else [] for t in texts], columns.column("kinds").to_pylist(), strict=True))
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], list[tuple]]]:
+    """((host, salt, chunks of the host), its pages) of rows ordered by these."""
+    of, held = None, []
+    for b in batches:
+        for key, row in zip(zip(*(b.column(n).to_pylist() for n in ("host", "salt", "chunks")), strict=True), _rows(b), strict=True):
+            if key != of:
+                if held:
+                    yield of, held
+                of, held = key, []
+            held.append(row)
+    if held:
+        yield of, held
+
+
+def _results(rows: list[tuple], also: np.ndarray | None = None) -> list[pa.Array]:
+    got = _main_text([r[2:] for r in rows], also)
+    return [
+        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([r[1] for r in rows], pa.string()),
+        pa.array([g[0] for g in got], pa.string()),
+        pa.array([len(g[0]) for g in got], pa.int64()),
+        pa.array([g[1] for g in got], pa.int64()),
+        pa.array([g[2] for g in got], pa.int64()),
+    ]
+
+
+_COLUMNS = [x.split()[0] for x in _OUT.split(", ")]
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages ordered by (host, salt)."""
+    """Pages ordered by (host, salt), each host one chunk."""
+    for _, rows in _by_chunk(batches):
+        yield pa.RecordBatch.from_arrays(_results(rows), names=_COLUMNS)
+
+
+#: Groups of suffixes of a chunk in one range: their number, the least key, the steps
+#: to the next ones and, as places in a list of hashes of token streams, the pages
+#: that they stand on (0: several of the chunk).
+_RANGED = "host string, part long, salt long, n long, least binary, steps binary, streams binary, at binary"
+_ALSO = "host string, salt long, keys binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers below 2**63 as planes of as many bytes as the greatest takes,
+    of which the highest, which is far from even, is packed."""
+    k = max(1, (int(a.max()).bit_length() + 7) // 8)
+    each = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T)
+    pack = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return bytes([k]) + each[:-1].tobytes() + pack.compress(each[-1].tobytes()) + pack.flush()
+
+
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    k = b[0]
+    each = np.zeros((8, n), np.uint8)
+    each[: k - 1] = np.frombuffer(b, np.uint8, (k - 1) * n, 1).reshape(k - 1, n)
+    each[k - 1] = np.frombuffer(zlib.decompress(b[1 + (k - 1) * n :]), np.uint8)
+    return np.ascontiguousarray(each.T).view("<u8").ravel()
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of each chunk's suffix array by ranges, of which a host has as
+    many as chunks."""
+    for (host, salt, chunks), rows in _by_chunk(batches):
+        _, place, w, bounds = _streams([r[2:] for r in rows])
+        suffix_array, edge, own, shared = suffixes(w, bounds)
+        data, offsets = K.buffers(pa.array(list(place), pa.large_string()))
+        streams = K.span_hashes(data, offsets[:-1], offsets[1:]) | np.uint64(1)
+        keys = run_keys(w, bounds, suffix_array[edge])
+        stands = np.where(shared, np.uint64(0), streams[own[edge]])
+        part = ((keys >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(keys)
+        cuts = np.searchsorted(part[order], np.arange(chunks + 1))
+        out = []
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            i = order[cuts[p] : cuts[p + 1]]
+            known, at = np.unique(stands[i], return_inverse=True)
+            out.append((host, p, salt, len(i), keys[i[:1]].tobytes(), _planes(np.diff(keys[i], prepend=keys[i[0]])), known.tobytes(), _planes(at)))
+        yield _batch(out, _RANGED)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by (host, part): to each chunk the keys that stand on one of its
+    pages and on a page of another chunk."""
     of, held = None, []
 
     def close() -> pa.RecordBatch:
-        got = _main_text([(t.split("\n") if t else [], k) for _, _, t, k in held])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([h[0] for h in held], pa.int64()),
-                pa.array([h[1] for h in held], pa.string()),
-                pa.array([g[0] for g in got], pa.string()),
-                pa.array([len(g[0]) for g in got], pa.int64()),
-                pa.array([g[1] for g in got], pa.int64()),
-                pa.array([g[2] for g in got], pa.int64()),
-            ],
-            names=["page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"],
-        )
+        keys = np.concatenate([np.frombuffer(low, np.uint64) + np.cumsum(_from_planes(steps, n)) for _, n, low, steps, _, _ in held])
+        stands = np.concatenate([np.frombuffer(known, np.uint64)[_from_planes(at, n)] for _, n, _, _, known, at in held])
+        chunk = np.repeat(np.arange(len(held)), [row[1] for row in held])
+        order = np.argsort(keys, kind="stable")
+        keys, stands, chunk = keys[order], stands[order], chunk[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        several = np.minimum.reduceat(stands, begin) != np.maximum.reduceat(stands, begin)
+        mine = np.repeat(several, np.diff(np.append(begin, len(keys)))) & (stands != 0)
+        told = [(c, keys[mine & (chunk == c)]) for c in np.unique(chunk[mine]).tolist()]
+        return _batch([(of[0], held[c][0], k.tobytes()) for c, k in told], _ALSO)
 
     for b in batches:
-        for page, url, host, salt, text, kinds in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if (host, salt) != of:
+        for host, part, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            if (host, part) != of:
                 if held:
                     yield close()
-                of, held = (host, salt), []
-            held.append((page, url, text, kinds))
+                of, held = (host, part), []
+            held.append(row)
     if held:
         yield close()
 
 
+def _finished(pages: pa.Table, also: pa.Table) -> pa.Table:
+    """The pages of one chunk and what it was told."""
+    keys = [np.frombuffer(k, np.uint64) for k in also.column("keys").to_pylist()]
+    return pa.Table.from_arrays(_results(_rows(pages), np.concatenate(keys) if keys else None), names=_COLUMNS)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_tokens, n_repeated) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = materialize(pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")).where("chunks > 1"))
-    dealt = pages.join(broadcast_if_small(sizes, sizes.count()), "host", "left")
-    dealt = dealt.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1))).alias("salt"))
+    size = F.sum(F.coalesce(F.length("html"), F.lit(0)) + 100)
+    large = materialize(pages.groupBy("host").agg(F.ceil(size / CHUNK).cast("long").alias("chunks")).where("chunks > 1"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.select("page_id", "url", "html", "host", "salt").mapInArrow(_parsed, "page_id long, url string, host string, salt long, blocks string, kinds binary")
-    return rows.repartition(n, "host", "salt").sortWithinPartitions("host", "salt").mapInArrow(_extracted, _OUT)
+    count = large.count()
+    known = broadcast_if_small(large, count)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")).alias("salt"), "chunks")
+        return df.mapInArrow(_parsed, _CHUNKED).repartition(n, "host", "salt")
+
+    small = dealt(pages.join(known, "host", "left_anti").withColumn("chunks", F.lit(1).cast("long")))
+    out = small.sortWithinPartitions("host", "salt").mapInArrow(_extracted, _OUT)
+    if not count:
+        return out
+    chunks = dealt(pages.join(known, "host"))
+    ranges = chunks.sortWithinPartitions("host", "salt").mapInArrow(_ranged, _RANGED)
+    also = ranges.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInArrow(_merged, _ALSO)
+    return out.unionByName(chunks.groupBy("host", "salt").cogroup(also.groupBy("host", "salt")).applyInArrow(_finished, _OUT))

@@ -431,6 +431,25 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_runs_are_found_across_the_chunks_of_a_host(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    some = lambda n: [f"w{v}" for v in r.integers(0, 10**6, n)]
+    runs = [some(8) for _ in range(30)]
+    texts = [some(20) for _ in range(300)]
+    for run in runs:  # on two pages each
+        for k in r.choice(300, 2, replace=False):
+            texts[k] += run
+    texts += [texts[0], some(3), [], [x.upper() for x in texts[1]]]
+    rows = [(i, "http://large.example/x", f"<body><article>{' '.join(t)}</article></body>") for i, t in enumerate(texts)]
+    rows += [(1000 + i, "http://other.example/x", f"<body><p>{' '.join(t)}</p></body>") for i, t in enumerate((texts[1], runs[0] + runs[1]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {x["page_id"]: tuple(x) for x in html.extract(df).collect()}
+    monkeypatch.setattr(html, "CHUNK", 2000)
+    parted = {x["page_id"]: tuple(x) for x in html.extract(df).collect()}
+    assert len(whole) == len(rows) and parted == whole
+    assert sum(x[5] for x in parted.values()) >= 2 * 8 * len(runs)
+
+
 def test_repeated_equals_brute_force():
     r = np.random.default_rng(2)
     pages = [r.integers(0, 2, n).astype(np.uint64) for n in (0, 40, 5, 60, 30)]
