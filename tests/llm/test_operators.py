@@ -350,6 +350,29 @@ def test_licenses_equal_sql(spark):
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(cur.fetchall())
 
 
+def test_licenses_equal_sql_on_letters_that_fold(spark, tmp_path):
+    import duckdb
+
+    long, kelvin = chr(0x17F), chr(0x212A)
+    texts = [f"Relea{long}ed under the MIT Licen{long}e.", f"{long}pdx", f"a b{long}d-3", f"gnu{long} x", f"GNU{kelvin}", "as isé", "as \u0131s", "perm\u0130ssion", f"x\n\r\nall right{long} re{long}erved\r\nx", "gnu\u2028gpl\u0085", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    cur = con.execute(licenses.sql())
+    names = [d[0] for d in cur.description]
+    got = sorted(tuple(r[n] for n in names) for r in licenses.scan(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert got == sorted(cur.fetchall()) and {0, 1, 2, 8} <= {r[0] for r in got}
+
+
+def test_licenses_of_every_paragraph(spark):
+    cut = "you may not use this file except in compliance with the"
+    df = spark.createDataFrame([(1, f"A walk by the river.\n\n{cut}\n ...\nReleased under the MIT License."), (2, None), (3, "")], "doc_id long, text string")
+    every = {(r["doc_id"], r["paragraph"]): tuple(r)[2:] for r in licenses.scan(df, every=True).collect()}
+    named = {(r["doc_id"], r["paragraph"]): tuple(r)[2:] for r in licenses.scan(df).collect()}
+    assert set(every) == {(1, 0), (1, 2), (1, 4)} and set(named) == {(1, 4)} and named.items() <= every.items()
+    assert every[1, 0][0] == "unknown" and every[1, 2][0] == "apache" and every[1, 4][0] == "mit"
+
+
 def test_passages(docs, empty, texts):
     rows = passages.repeated_passages(docs).collect()
     cover = defaultdict(set)
