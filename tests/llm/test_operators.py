@@ -432,6 +432,30 @@ def test_edited_passages(spark):
     assert not missed, missed
 
 
+def test_edited_passages_whose_seeds_first_occur_in_several_documents(spark):
+    r = random.Random(3)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    runs = [some(6) for _ in range(10)]
+    rows = [(k, " ".join(some(30) + run + some(30))) for k, run in enumerate(runs)]
+    for i in (50, 60, 60, 70):  # six words of seven are equal
+        rows.append((i, " ".join(some(30) + [w for run in runs for w in run + some(1)] + some(30))))
+    rows[12] = rows[11]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["ref_doc_id"]): x["identity"] for x in passages.repeated_passages(df, every=True).collect()}
+    assert set(got) == {(60, 50), (70, 50), (70, 60)} and min(got.values()) >= passages.IDENTITY
+
+
+def test_all_earlier_occurrences_equal_brute_force(monkeypatch):
+    r = np.random.default_rng(4)
+    keys, doc, pos = r.integers(0, 9, 200).astype(np.uint64), r.integers(0, 12, 200), r.permutation(200)
+    want = {(i, j) for i in range(200) for j in range(200) if keys[i] == keys[j] and doc[j] < doc[i]}
+    for flush in (1, 50, 1 << 20):
+        monkeypatch.setattr(passages, "FLUSH", flush)
+        found = [p for a, b in passages._to_all(keys, doc, pos) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(want) and set(found) == want
+    assert not list(passages._to_all(keys[:0], doc[:0], pos[:0]))
+
+
 def test_chains_ascend_and_pay_for_gaps():
     x, y = [0, 10, 20, 30, 500], [100, 110, 90, 130, 2000]
     best = passages.chains(x, y)[0]
