@@ -11,10 +11,14 @@ as a quoted passage is still the article's.
 
 A host of more than CHUNK characters is dealt by hash into chunks of about that
 many, each with a suffix array of its own, so a large host is no large task. The
-arrays of a host are then merged: the suffixes that stand on one page of their
-chunk are dealt by ranges of the hash of their first RUN tokens, a range of all
-chunks is sorted in one task, and each chunk is told which of its suffixes stand
-on pages of others, too. So the result does not depend on how a host is dealt.
+arrays of a host are then merged in two rounds. First only the leading bits of the
+hashes of all runs of RUN tokens and of all pages are dealt by ranges, as steps of
+about a byte, and each chunk is told which of its own another chunk has, too. Then
+the suffixes whose hashes begin with these are dealt by ranges of the whole hash of
+their first RUN tokens, a range of all chunks is sorted in one task, and each chunk
+is told which of its suffixes stand on pages of others, too. Bits that agree by
+accident cost a few suffixes in the second round and change nothing. So the result
+does not depend on how a host is dealt.
 Pages of equal token streams count as one page, and a page all of whose open
 blocks are repeated is taken for a copy and keeps them.
 
@@ -27,7 +31,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,11 @@ from skarn.llm.common import broadcast_if_small, materialize
 RUN = 8
 #: Characters of html of a host that one task sorts.
 CHUNK = 16 << 20
+#: Leading bits of a hash that chunks are compared by first, besides those that number
+#: the chunks: with about 2**21 runs a chunk one in 32 agrees by accident.
+LEADING = 26
+#: Bytes of text of a chunk's pages that are compressed together.
+TOGETHER = 1 << 20
 #: Share of a block's tokens that must be repeated for it to lose them.
 COVERED = 0.5
 
@@ -172,13 +182,13 @@ def _covered(at: np.ndarray, n: int, run: int) -> np.ndarray:
     return np.cumsum(covered)[:n] > 0
 
 
-def repeated(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN, also: np.ndarray | None = None) -> np.ndarray:
+def repeated(tokens: np.ndarray, bounds: np.ndarray, run: int = RUN, also: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Which tokens of the concatenated streams stand in a substring of ``run``
-    tokens or more that is on two distinct pages or more, or whose key is one of
-    ``also``."""
+    tokens or more that is on two distinct pages or more, or of whose key ``also``
+    holds."""
     suffix_array, edge, _, shared = suffixes(tokens, bounds, run)
-    if also is not None and len(also):
-        shared = shared | np.isin(run_keys(tokens, bounds, suffix_array[edge], run), also)
+    if also is not None:
+        shared = shared | also(run_keys(tokens, bounds, suffix_array[edge], run))
     return _covered(suffix_array[np.repeat(shared, np.diff(np.append(edge, len(suffix_array))))], len(tokens), run)
 
 
@@ -205,9 +215,9 @@ def _streams(pages: list[tuple[list[str], bytes]]) -> tuple[list[str], dict[str,
     return streams, place, *K.words(pa.array(list(place), pa.large_string()))
 
 
-def _main_text(pages: list[tuple[list[str], bytes]], also: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+def _main_text(pages: list[tuple[list[str], bytes]], also: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[str, int, int]]:
     """(text, tokens, repeated tokens) of each page of a chunk of a host; ``also``
-    are the keys of runs that stand in other chunks, too."""
+    holds of the keys of runs that stand in other chunks, too."""
     streams, place, w, bounds = _streams(pages)
     hit = repeated(w, bounds, also=also)
     out = []
@@ -228,48 +238,71 @@ def _main_text(pages: list[tuple[list[str], bytes]], also: np.ndarray | None = N
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of some pages of one chunk. Words are parted by plain spaces only, other
+    white space was turned into these; so lines part blocks and form feeds pages."""
     for b in batches:
-        found = [blocks(x) if x else ([], []) for x in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("page_id").cast(pa.int64()),
-                b.column("url").cast(pa.string()),
-                b.column("host").cast(pa.string()),
-                b.column("salt").cast(pa.int64()),
-                b.column("chunks").cast(pa.int64()),
-                # words are parted by plain spaces only; other white space was turned into these
-                pa.array([zlib.compress("\n".join(t).encode(errors="replace"), 1) for t, _ in found], pa.binary()),
-                pa.array([bytes(k) for _, k in found], pa.binary()),
-            ],
-            names=[x.split()[0] for x in _CHUNKED.split(", ")],
-        )
-
-
-_CHUNKED = "page_id long, url string, host string, salt long, chunks long, blocks binary, kinds binary"
+        rows, held, size = [], defaultdict(list), defaultdict(int)
+
+        def close(key: tuple) -> None:
+            ids, urls, texts, kinds = zip(*held.pop(key), strict=True)
+            plain = b"\f".join([b"".join(kinds), *texts])
+            rows.append((ids, urls, *key, len(plain), _codec().compress(plain, asbytes=True)))
+            del size[key]
+
+        for page_id, url, page, *key in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "host", "salt", "chunks")), strict=True):
+            key, (texts, kinds) = tuple(key), blocks(page) if page else ([], [])
+            held[key].append((page_id, url, "\n".join(texts).encode(errors="replace"), bytes(kinds)))
+            size[key] += len(held[key][-1][2])
+            if size[key] >= TOGETHER:
+                close(key)
+        for key in list(held):
+            close(key)
+        yield _batch(rows, _CHUNKED)
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=9)
+
+
+_CHUNKED = "page_ids array<long>, urls array<string>, host string, salt long, chunks long, size long, blocks binary"
 _OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
 
 
-def _rows(columns: pa.RecordBatch | pa.Table) -> list[tuple]:
-    """(page_id, url, blocks, kinds) of each page."""
-    texts = [zlib.decompress(x).decode() for x in columns.column("blocks").to_pylist()]
-    return list(zip(columns.column("page_id").to_pylist(), columns.column("url").to_pylist(), [t.split("\n") if t else [] for t in texts], columns.column("kinds").to_pylist(), strict=True))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _rows(columns: pa.RecordBatch | pa.Table) -> Iterator[list[tuple]]:
+    """(page_id, url, blocks, kinds) of the pages of each row."""
+    for ids, urls, size, packed in zip(*(columns.column(n).to_pylist() for n in ("page_ids", "urls", "size", "blocks")), strict=True):
+        kinds, *texts = _codec().decompress(packed, size, asbytes=True).split(b"\f")
+        parts = [t.decode().split("\n") if t else [] for t in texts]
+        ends = np.cumsum([len(t) for t in parts]).tolist()
+        yield [(i, u, t, kinds[e - len(t) : e]) for i, u, t, e in zip(ids, urls, parts, ends, strict=True)]
+
+
+def _pages(columns: pa.Table) -> list[tuple]:
+    return [page for row in _rows(columns) for page in row]
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], list[tuple]]]:
     """((host, salt, chunks of the host), its pages) of rows ordered by these."""
     of, held = None, []
     for b in batches:
-        for key, row in zip(zip(*(b.column(n).to_pylist() for n in ("host", "salt", "chunks")), strict=True), _rows(b), strict=True):
+        for key, pages in zip(zip(*(b.column(n).to_pylist() for n in ("host", "salt", "chunks")), strict=True), _rows(b), strict=True):
             if key != of:
                 if held:
                     yield of, held
                 of, held = key, []
-            held.append(row)
+            held += pages
     if held:
         yield of, held
 
 
-def _results(rows: list[tuple], also: np.ndarray | None = None) -> list[pa.Array]:
+def _results(rows: list[tuple], also: Callable[[np.ndarray], np.ndarray] | None = None) -> list[pa.Array]:
     got = _main_text([r[2:] for r in rows], also)
     return [
         pa.array([r[0] for r in rows], pa.int64()),
@@ -290,18 +323,18 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(_results(rows), names=_COLUMNS)
 
 
+#: Leading bits of a chunk's hashes in one range: their number, the least and the steps
+#: to the next ones.
+_LED = "host string, part long, salt long, n long, least binary, steps binary"
+#: Which of these another chunk has, bit by bit.
+_MET = "host string, part long, salt long, bits binary"
 #: Groups of suffixes of a chunk in one range: their number, the least key, the steps
-#: to the next ones and, as places in a list of hashes of token streams, the pages
-#: that they stand on (0: several of the chunk).
-_RANGED = "host string, part long, salt long, n long, least binary, steps binary, streams binary, at binary"
-_ALSO = "host string, salt long, keys binary"
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [x.split() for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+#: to the next ones and, as places in a list, what they stand on: 0 several pages of
+#: the chunk, 1 a page that no other chunk has, else the hash of a page's token stream.
+_RANGED = "host string, part long, salt long, chunks long, n long, least binary, steps binary, streams binary, at binary"
+#: Leading bits of the keys of a chunk in one range that stand on pages of others, too,
+#: and whole keys where the chunk has others that begin so.
+_TOLD = "host string, salt long, n long, least binary, steps binary, keys binary"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -321,59 +354,133 @@ def _from_planes(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(each.T).view("<u8").ravel()
 
 
-def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups of each chunk's suffix array by ranges, of which a host has as
-    many as chunks."""
-    for (host, salt, chunks), rows in _by_chunk(batches):
-        _, place, w, bounds = _streams([r[2:] for r in rows])
-        suffix_array, edge, own, shared = suffixes(w, bounds)
-        data, offsets = K.buffers(pa.array(list(place), pa.large_string()))
-        streams = K.span_hashes(data, offsets[:-1], offsets[1:]) | np.uint64(1)
-        keys = run_keys(w, bounds, suffix_array[edge])
-        stands = np.where(shared, np.uint64(0), streams[own[edge]])
-        part = ((keys >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(keys)
-        cuts = np.searchsorted(part[order], np.arange(chunks + 1))
-        out = []
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            i = order[cuts[p] : cuts[p + 1]]
-            known, at = np.unique(stands[i], return_inverse=True)
-            out.append((host, p, salt, len(i), keys[i[:1]].tobytes(), _planes(np.diff(keys[i], prepend=keys[i[0]])), known.tobytes(), _planes(at)))
-        yield _batch(out, _RANGED)
+def _steps(keys: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(number, least, steps to the next ones) of ascending keys."""
+    return (len(keys), keys[:1].tobytes(), _planes(np.diff(keys, prepend=keys[0]))) if len(keys) else (0, b"", b"")
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges by (host, part): to each chunk the keys that stand on one of its
-    pages and on a page of another chunk."""
-    of, held = None, []
+def _from_steps(n: int, least: bytes, steps: bytes) -> np.ndarray:
+    return np.frombuffer(least, np.uint64) + np.cumsum(_from_planes(steps, n)) if n else np.zeros(0, np.uint64)
+
+
+def _unled(chunks: int) -> np.uint64:
+    """Bits of a hash that do not lead it."""
+    return np.uint64(max(0, 64 - LEADING - (chunks - 1).bit_length()))
+
+
+def _cuts(keys: np.ndarray, chunks: int) -> np.ndarray:
+    """Where the ranges of ascending keys begin, of which a host has as many as chunks."""
+    part = ((keys >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(part, np.arange(chunks + 1))
+
+
+def _hashed(pages: list[tuple], chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of the distinct pages of a chunk, bounds, hash of each such page, leading
+    bits of these and of all runs, where their ranges begin)."""
+    _, place, w, bounds = _streams([r[2:] for r in pages])
+    data, offsets = K.buffers(pa.array(list(place), pa.large_string()))
+    streams = K.span_hashes(data, offsets[:-1], offsets[1:]) | np.uint64(1)
+    whole = np.flatnonzero(np.arange(len(w)) + RUN <= np.repeat(bounds[1:], np.diff(bounds)))
+    leading = np.unique(np.concatenate([run_keys(w, bounds, whole), streams]) >> _unled(chunks))
+    return w, bounds, streams, leading, _cuts(leading << _unled(chunks), chunks)
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading bits of each chunk by ranges."""
+    for (host, salt, chunks), pages in _by_chunk(batches):
+        *_, leading, cuts = _hashed(pages, chunks)
+        yield _batch([(host, p, salt, *_steps(leading[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts)).tolist()], _LED)
 
-    def close() -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(low, np.uint64) + np.cumsum(_from_planes(steps, n)) for _, n, low, steps, _, _ in held])
-        stands = np.concatenate([np.frombuffer(known, np.uint64)[_from_planes(at, n)] for _, n, _, _, known, at in held])
-        chunk = np.repeat(np.arange(len(held)), [row[1] for row in held])
-        order = np.argsort(keys, kind="stable")
-        keys, stands, chunk = keys[order], stands[order], chunk[order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        several = np.minimum.reduceat(stands, begin) != np.maximum.reduceat(stands, begin)
-        mine = np.repeat(several, np.diff(np.append(begin, len(keys)))) & (stands != 0)
-        told = [(c, keys[mine & (chunk == c)]) for c in np.unique(chunk[mine]).tolist()]
-        return _batch([(of[0], held[c][0], k.tobytes()) for c, k in told], _ALSO)
 
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[tuple]]]:
+    """((host, part), what each chunk has there) of rows ordered by (host, part)."""
+    of, held = None, []
     for b in batches:
-        for host, part, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+        for host, part, *row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
             if (host, part) != of:
                 if held:
-                    yield close()
+                    yield of, held
                 of, held = (host, part), []
             held.append(row)
     if held:
-        yield close()
+        yield of, held
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by (host, part): to each chunk which of its own another chunk has."""
+    for of, held in _by_range(batches):
+        keys = np.concatenate([_from_steps(*row[1:]) for row in held])
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]  # a chunk has each once
+        met = np.zeros(len(keys), bool)
+        met[order[1:][same]] = met[order[:-1][same]] = True
+        each = np.split(met, np.cumsum([row[1] for row in held])[:-1])
+        yield _batch([(*of, row[0], zlib.compress(np.packbits(m).tobytes(), 1)) for row, m in zip(held, each, strict=True) if m.any()], _MET)
+
+
+def _ranged(pages: pa.Table, told: pa.Table) -> pa.Table:
+    """The groups of a chunk's suffix array that begin with what another chunk has,
+    by ranges."""
+    if not told.num_rows or not pages.num_rows:
+        return pa.Table.from_batches([_batch([], _RANGED)])
+    host, salt, chunks = (pages.column(c)[0].as_py() for c in ("host", "salt", "chunks"))
+    w, bounds, streams, leading, cuts = _hashed(_pages(pages), chunks)
+    met = np.zeros(len(leading), bool)
+    for p, bits in zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True):
+        met[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=cuts[p + 1] - cuts[p])
+    leading = leading[met]
+    suffix_array, edge, own, shared = suffixes(w, bounds)
+    keys = run_keys(w, bounds, suffix_array[edge])
+    on = np.where(np.isin(streams >> _unled(chunks), leading), streams, np.uint64(1))
+    stands = np.where(shared, np.uint64(0), on[own[edge]])
+    some = np.flatnonzero(np.isin(keys >> _unled(chunks), leading))
+    order = some[np.argsort(keys[some])]
+    cuts = _cuts(keys[order], chunks)
+    out = []
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        i = order[cuts[p] : cuts[p + 1]]
+        known, at = np.unique(stands[i], return_inverse=True)
+        out.append((host, p, salt, chunks, *_steps(keys[i]), known.tobytes(), _planes(at)))
+    return pa.Table.from_batches([_batch(out, _RANGED)])
 
 
-def _finished(pages: pa.Table, also: pa.Table) -> pa.Table:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by (host, part): to each chunk which of its keys stand on one of its
+    pages and on a page of another chunk."""
+    for (host, _), held in _by_range(batches):
+        keys = np.concatenate([_from_steps(*row[2:5]) for row in held])
+        stands = np.concatenate([np.frombuffer(known, np.uint64)[_from_planes(at, n)] for _, _, n, _, _, known, at in held])
+        chunk = np.repeat(np.arange(len(held)), [row[2] for row in held])
+        stands = np.where(stands == 1, 2 * (chunk.astype(np.uint64) + np.uint64(1)), stands)  # hashes of pages are odd
+        order = np.argsort(keys, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        several = np.minimum.reduceat(stands[order], begin) != np.maximum.reduceat(stands[order], begin)
+        mine = np.empty(len(keys), bool)
+        mine[order] = np.repeat(several, np.diff(np.append(begin, len(keys))))
+        mine &= stands != 0
+        out, end = [], 0
+        for salt, chunks, n, *_ in held:
+            at, end = end, end + n
+            lead = keys[at:end] >> _unled(chunks)
+            begin = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+            # what stands on several pages of the chunk is known to be repeated there
+            every = np.logical_and.reduceat(mine[at:end] | (stands[at:end] == 0), begin)
+            short = every & np.logical_or.reduceat(mine[at:end], begin)
+            rest = mine[at:end] & np.repeat(~every, np.diff(np.append(begin, n)))
+            if short.any() or rest.any():
+                out.append((host, salt, *_steps(lead[begin[short]]), keys[at:end][rest].tobytes()))
+        yield _batch(out, _TOLD)
+
+
+def _finished(pages: pa.Table, told: pa.Table) -> pa.Table:
     """The pages of one chunk and what it was told."""
-    keys = [np.frombuffer(k, np.uint64) for k in also.column("keys").to_pylist()]
-    return pa.Table.from_arrays(_results(_rows(pages), np.concatenate(keys) if keys else None), names=_COLUMNS)
+    if not pages.num_rows:
+        return pa.Table.from_batches([_batch([], _OUT)])
+    unled = _unled(pages.column("chunks")[0].as_py())
+    short = [_from_steps(*x) for x in zip(*(told.column(c).to_pylist() for c in ("n", "least", "steps")), strict=True)]
+    whole = np.frombuffer(b"".join(told.column("keys").to_pylist()), np.uint64)
+    leading = np.concatenate([np.zeros(0, np.uint64), *short])
+    return pa.Table.from_arrays(_results(_pages(pages), lambda keys: np.isin(keys >> unled, leading) | np.isin(keys, whole)), names=_COLUMNS)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -395,6 +502,9 @@ def extract(pages: DataFrame) -> DataFrame:
     if not count:
         return out
     chunks = dealt(pages.join(known, "host"))
-    ranges = chunks.sortWithinPartitions("host", "salt").mapInArrow(_ranged, _RANGED)
-    also = ranges.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInArrow(_merged, _ALSO)
-    return out.unionByName(chunks.groupBy("host", "salt").cogroup(also.groupBy("host", "salt")).applyInArrow(_finished, _OUT))
+    by_chunk = chunks.groupBy("host", "salt")
+    led = chunks.sortWithinPartitions("host", "salt").mapInArrow(_led, _LED)
+    met = led.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInArrow(_met, _MET)
+    ranges = by_chunk.cogroup(met.groupBy("host", "salt")).applyInArrow(_ranged, _RANGED)
+    also = ranges.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInArrow(_merged, _TOLD)
+    return out.unionByName(by_chunk.cogroup(also.groupBy("host", "salt")).applyInArrow(_finished, _OUT))

@@ -497,6 +497,49 @@ def test_runs_are_found_across_the_chunks_of_a_host(spark, monkeypatch):
     assert sum(x[5] for x in parted.values()) >= 2 * 8 * len(runs)
 
 
+@pytest.mark.parametrize("leading", [0, 6, 12, 26])
+def test_leading_bits_that_agree_by_accident_change_nothing(monkeypatch, leading):
+    monkeypatch.setattr(html, "LEADING", leading)
+    monkeypatch.setattr(html, "TOGETHER", 500)
+    r = np.random.default_rng(7)
+    some = lambda n: [f"w{v}" for v in r.integers(0, 10**6, n)]
+    texts, run = [some(r.integers(0, 40)) for _ in range(80)], some(12)
+    for k in r.choice(80, 9, replace=False):  # on pages of several chunks, and each page's on one or two
+        texts[k] += run + texts[(k + 1) % 80][:15]
+    texts += [texts[0], texts[3], texts[3], [], []]  # equal pages in several chunks
+    pages = [(None if i == 5 else i, None if i == 6 else f"http://a/{i}", f"<p>{' '.join(t)}</p>") for i, t in enumerate(texts)]
+    names = ["page_id", "url", "html", "host", "salt", "chunks"]
+    parsed = lambda rows: pa.Table.from_batches(html._parsed([pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows])]))
+    whole = html._results(html._pages(parsed([(*p, "a", 0, 1) for p in pages])))
+    chunks = [parsed([(*p, "a", salt, 3) for p in pages[salt::3]]) for salt in range(3)]
+    led = pa.Table.from_batches([b for c in chunks for b in html._led(c.to_batches())]).sort_by("part")
+    met = pa.Table.from_batches(html._met(led.to_batches()))
+    told = lambda t, salt: t.filter(pa.compute.equal(t["salt"], salt))
+    ranged = pa.concat_tables([html._ranged(c, told(met, salt)) for salt, c in enumerate(chunks)]).sort_by("part")
+    merged = pa.Table.from_batches(html._merged(ranged.to_batches()))
+    got = pa.concat_tables([html._finished(c, told(merged, salt)) for salt, c in enumerate(chunks)])
+    rows = lambda columns: sorted(zip(*(c.to_pylist() for c in columns), strict=True), key=repr)
+    assert rows(got.columns) == rows(whole) and sum(whole[5].to_pylist()) > 9 * 12
+    assert bool(sum(map(len, merged["keys"].to_pylist()))) == (leading < 26)
+
+
+def test_chunks_of_a_host_are_merged_with_few_bytes(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"w{v}" for v in r.integers(0, 10**6, 500)) for _ in range(500)]
+    rows = [(i, f"http://large.example/{i}", f"<body><article>{t}</article></body>") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def took():
+        before = written()
+        assert html.extract(df).agg(F.count("*"), F.sum("n_repeated")).first()[0] == 500
+        return written() - before
+
+    one = took()
+    monkeypatch.setattr(html, "CHUNK", 200_000)
+    assert took() - one < 4 * 500 * 500  # bytes a token: a hash has eight
+
+
 def test_repeated_equals_brute_force():
     r = np.random.default_rng(2)
     pages = [r.integers(0, 2, n).astype(np.uint64) for n in (0, 40, 5, 60, 30)]
